@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import packing
+from . import bpe, exact_dedup, fingerprints, packing
 
 QUERIES = {
+    "op1_fingerprints": fingerprints.op1,
     "op2_packing": packing.op2,
+    "op3_exact_dedup": exact_dedup.op3,
+    "op5_bpe": bpe.op5,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_exact_dedup": exact_dedup.ORACLE,
+}
