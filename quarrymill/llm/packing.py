@@ -29,7 +29,7 @@ from . import byte_bpe
 from .common import documents, prepare, texts, tokenizer_file
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-SENTENCE = re.compile(r"(?<=[.!?\n]) (?=\S)")
+SENTENCE = re.compile(r"(?<=[.!?\n]) (?=[^\s<])")  # "<" may begin a special token, which changes the pieces before it
 END_ID = 1
 NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprints, packing
+from . import bpe, exact_dedup, fingerprints, language, packing, quality, token_counts
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1,
     "op2_packing": packing.op2,
     "op3_exact_dedup": exact_dedup.op3,
+    "op4_token_counts": token_counts.op4,
     "op5_bpe": bpe.op5,
+    "op8_language": language.op8,
+    "op10_quality": quality.op10,
 }
 
 ORACLES: dict[str, str] = {
