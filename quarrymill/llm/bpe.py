@@ -4,9 +4,9 @@ A piece of text is a doubly linked list of symbols. The ranks of all neighbourin
 taken, skipped if either of its symbols has changed since (a stale entry), else the two symbols become one and the pairs
 with its neighbours join the heap. Decoding concatenates the vocabulary's strings, joined as the tokenizer file says.
 
-`WordBpe` reads a tokenizer file of the kind "NFC, white space to blank, lower case; split at letters, single digits and
-signs; byte-level symbols with a word-end suffix; no decoder" and refuses any other. Chunks between blanks don't affect
-each other, so the results for short chunks are kept in a bounded table.
+`WordBpe` reads a tokenizer file of the kind "NFC, white space to blank, lower case; split into runs of letters, single
+digits and runs of signs; byte-level symbols with a word-end suffix; no decoder" and refuses any other. White space only separates words, so it is not folded
+first; words don't affect each other, so the results for short ones are kept in bounded tables.
 
 Null texts count as empty: no ids, and the hashes of nothing. Repeated rows get repeated results.
 """
@@ -27,7 +27,7 @@ from .common import documents, prepare, texts, tokenizer_file
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 # Unicode's White_Space, as the tokenizer's pattern library has it. Fixed values.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-KEPT_CHUNKS, KEPT_LENGTH = 300_000, 40
+KEPT_WORDS, KEPT_LENGTH = 400_000, 40
 
 
 def byte_symbols() -> list[str]:
@@ -84,38 +84,28 @@ class WordBpe:
         self.end = [self.vocab.get(c + self.suffix) for c in byte_symbols()]
         # The file's own pattern, with white space spelt out.
         self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
-        self.blanks = regex.compile(f"[{SPACE}]+")
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.kept: dict[str, tuple[bytes, str]] = {}
-        self.kept_words: dict[str, list[int]] = {}
+        self.younger: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
 
-    def word(self, word: str) -> list[int]:
-        if (found := self.kept_words.get(word)) is None:
+    def word(self, word: str) -> tuple[bytes, str]:
+        """Ids as bytes and decoded text of one word, from one of two tables: the older one is dropped when the younger
+        one is full, so words that keep occurring stay."""
+        if (found := self.older.get(word)) is None:
             raw = word.encode()
             symbols = [*(self.start[b] for b in raw[:-1]), self.end[raw[-1]]]
-            found = merge([s for s in symbols if s is not None], self.pairs)
-            if len(word) <= KEPT_LENGTH:
-                if len(self.kept_words) >= KEPT_CHUNKS:
-                    self.kept_words.clear()
-                self.kept_words[word] = found
-        return found
-
-    def chunk(self, chunk: str) -> tuple[bytes, str]:
-        """Ids as bytes and decoded text of what stands between blanks."""
-        if (found := self.kept.get(chunk)) is None:
-            ids = [i for w in self.words.findall(chunk) for i in self.word(w)]
+            ids = merge([s for s in symbols if s is not None], self.pairs)
             found = little_endian(ids), self.decode(ids)
-            if len(chunk) <= KEPT_LENGTH:
-                if len(self.kept) >= KEPT_CHUNKS:
-                    self.kept.clear()
-                self.kept[chunk] = found
+        if len(word) <= KEPT_LENGTH:
+            if len(self.younger) >= KEPT_WORDS:
+                self.older, self.younger = self.younger, {}
+            self.younger[word] = found
         return found
 
     def plain(self, text: str) -> list[tuple[bytes, str]]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # each character by itself: no final sigma
-        text = self.blanks.sub(" ", text).lower()
-        return [self.chunk(c) for c in text.split(" ") if c]
+        return [self.younger.get(w) or self.word(w) for w in self.words.findall(text.lower())]
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """(ids as little-endian uint32, decoded text)."""

@@ -117,7 +117,7 @@ def test_byte_ids_like_the_library(text):
     assert [*byte_bpe.encoder(JSON, RANKS)(text), 1] == ids_of(text)
 
 
-def test_small_tables_of_kept_chunks(monkeypatch):
-    monkeypatch.setattr(bpe, "KEPT_CHUNKS", 2)
+def test_small_tables_of_kept_words(monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT_WORDS", 2)
     text = "one two three two one four five one"
     assert bpe.WordBpe(WORDS).encode(text) == as_library(text)
