@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprints, language, packing, personal_data, quality, token_counts
+from . import bpe, exact_dedup, fingerprints, language, packing, personal_data, quality, simhash, token_counts
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_exact_dedup": exact_dedup.op3,
     "op4_token_counts": token_counts.op4,
     "op5_bpe": bpe.op5,
+    "op6_simhash": simhash.op6,
     "op7_personal_data": personal_data.op7,
     "op8_language": language.op8,
     "op10_quality": quality.op10,
