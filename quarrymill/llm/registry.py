@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprints, language, packing, personal_data, quality, simhash, token_counts
+from . import bpe, exact_dedup, fingerprints, language, packing, personal_data, quality, repeats, simhash, token_counts
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_simhash": simhash.op6,
     "op7_personal_data": personal_data.op7,
     "op8_language": language.op8,
+    "op9_repeats": repeats.op9,
     "op10_quality": quality.op10,
 }
 
