@@ -48,7 +48,7 @@ def ranked(df: DataFrame, key: str, seed: int, by: str | None) -> DataFrame:
     return rows.withColumn("__rank", F.col("__place") + F.col("__before")).drop("__hash", "__range", "__s", "__r", "__before", "__place")
 
 
-def test_quotas(counts: dict, share: float) -> dict:
+def class_quotas(counts: dict, share: float) -> dict:
     """Rows of each class in the test part: floors of the exact shares, the rest to the largest remainders (then to the
     smaller class names); ceil(share * all rows) in total."""
     total = math.ceil(share * sum(counts.values()))
@@ -65,7 +65,7 @@ def holdout(df: DataFrame, key: str, target: str | None = None, test_size: float
         counts = {r[0]: r[1] for r in df.groupBy(col(target)).count().collect()}
         if len(counts) > 1 and min(counts.values()) < 2:
             raise ValueError("a class with a single row can't be split")
-        quota = test_quotas(counts, test_size)
+        quota = class_quotas(counts, test_size)
         limit = F.lit(0)
         for k, n in quota.items():
             limit = F.when(F.col("__stratum").eqNullSafe(F.lit(k)), n).otherwise(limit)
