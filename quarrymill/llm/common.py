@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -37,6 +38,12 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Spark removes shuffle files when the driver's JVM collects what refers to them; between passes, it is asked to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def prepare(spark: SparkSession) -> None:
     """Lets Python workers find this package, and keeps Arrow batches of long texts small."""
     root = str(Path(__file__).resolve().parents[2])

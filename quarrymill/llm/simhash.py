@@ -11,6 +11,9 @@ each is looked up under all changes of up to `distance` of the free bits, which
 capped. A task passes on a spanning forest of its links, not the pairs. The components of these forests are then found
 by star rounds over tables.
 
+One fingerprint links few documents that are less than almost equal. With several (`prints`), of the set of shingles,
+documents are linked if any of them is near.
+
 Null and empty texts have the fingerprint zero and are linked like any other. A text with fewer words than a shingle is
 one shingle. Rows that repeat a doc_id get a row each. An empty table gives no rows.
 """
@@ -23,44 +26,67 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, prepare, texts
+from .common import documents, materialize, prepare, release, texts
 from .components import components
 
 BITS, LARGE = 64, 3000
 
 
-def fingerprint(text: str, words: int = 3) -> int:
+def shingle_hashes(text: str, words: int) -> np.ndarray:
     import xxhash
 
     tokens = text.encode().lower().split()  # bytes: A-Z and ASCII white space only
     if not tokens:
-        return 0
+        return np.empty(0, "<u8")
     whole = b" ".join(tokens)
     n = len(tokens) - words + 1
+    digest = xxhash.xxh64_intdigest
     if n <= 1:
-        return xxhash.xxh64_intdigest(whole, 42)
+        return np.array([digest(whole, 42)], "<u8")
     ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
     starts = np.concatenate([[0], ends[: n - 1] + 1]).tolist()
-    stops = ends[words - 1 :].tolist()
-    digest = xxhash.xxh64_intdigest
-    h = np.array([digest(whole[a:b], 42) for a, b in zip(starts, stops, strict=True)], "<u8")
+    return np.array([digest(whole[a:b], 42) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)], "<u8")
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in more than half of the hashes."""
     counts = np.zeros(BITS, np.int64)
-    for at in range(0, n, 1 << 16):
+    for at in range(0, len(h), 1 << 16):
         counts += np.unpackbits(h[at : at + (1 << 16)].view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str, words: int = 3) -> int:
+    return majority(shingle_hashes(text, words))
+
+
+def wide_fingerprint(text: str, words: int, prints: int) -> list[int]:
+    """Independent fingerprints of the set of shingles: the first hashes its shingles as they are, the others mix them."""
+    h = np.unique(shingle_hashes(text, words))
+    out = []
+    for r in range(prints):
+        x = h
+        if r:
+            x = h + np.uint64(r * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
+            x ^= x >> np.uint64(31)
+        out.append(majority(x))
+    return out
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp) of (doc_id, text)."""
+def fingerprints(docs: DataFrame, words: int = 3, prints: int = 1) -> DataFrame:
+    """(doc_id, fp0, ...) of (doc_id, text)."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            found = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], "u8")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view("i8"))], names=["doc_id", "fp"])
+            texts_of = b.column(1).to_pylist()
+            found = np.array([[fingerprint(t, words)] if prints == 1 else wide_fingerprint(t, words, prints) for t in texts_of], "u8").reshape(len(texts_of), prints)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(found[:, r]).view("i8")) for r in range(prints))], names=["doc_id", *(f"fp{r}" for r in range(prints))])
 
-    return docs.mapInArrow(run, "doc_id long, fp long")
+    return docs.mapInArrow(run, "doc_id long, " + ", ".join(f"fp{r} long" for r in range(prints)))
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
@@ -185,20 +211,32 @@ def links(nodes: DataFrame, distance: int) -> DataFrame:
     return indexed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(meet, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id) of each row of docs."""
+def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, prints: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fingerprint, component_id) of each row of docs. prints: with several independent fingerprints, documents
+    are linked if any of them differs in at most `distance` bits; each is indexed in a pass of its own."""
     prepare(docs.sparkSession)
-    conf = docs.sparkSession.conf
-    rows = materialize(fingerprints(texts(docs, id_col, text_col), words), "simhash")
-    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("id")), "simhash-nodes")
+    spark, conf = docs.sparkSession, docs.sparkSession.conf
+    names = [f"fp{r}" for r in range(prints)]
+    rows = materialize(fingerprints(texts(docs, id_col, text_col), words, prints), "simhash")
+    nodes = materialize(rows.groupBy(*names).agg(F.min("doc_id").alias("id")), "simhash-nodes")
     batch = conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")  # three numbers a row
     try:
-        found = components(links(nodes, distance))
+        edges = None
+        for name in names:
+            each = nodes if prints == 1 else nodes.groupBy(name).agg(F.min("id").alias("id"))
+            found = links(each.select("id", F.col(name).alias("fp")), distance)
+            if prints > 1:  # nodes with this fingerprint in common
+                least = each.select(F.col(name).alias("same"), F.col("id").alias("u"))
+                found = found.unionByName(nodes.join(least, F.col(name) == F.col("same")).where("id != u").select("u", F.col("id").alias("v")))
+                found = materialize(found, "simhash-links")
+                release(spark)
+            edges = found if edges is None else edges.unionByName(found)
+        found = components(edges)
     finally:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
-    labels = nodes.join(found, nodes.id == found.node, "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return rows.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    labels = nodes.join(found, nodes.id == found.node, "left").select(*names, F.coalesce("component", "id").alias("component_id"))
+    return rows.join(labels, names).select("doc_id", F.lower(F.concat(*(F.lpad(F.hex(n), 16, "0") for n in names))).alias("fingerprint"), "component_id")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from collections import defaultdict
 import corpus_pipeline
 from helpers import NASTY
 from test_personal_data import brute
-from test_simhash import brute_components, brute_fingerprint
+from test_simhash import brute_components, brute_wide
 from test_tokens import check_pieces
 
 from quarrymill.llm import personal_data as pd
@@ -33,7 +33,7 @@ def brute_stages(docs, known):
         groups[t].append(i)
     kept = sorted({max(g): t for t, g in groups.items()}.items())
     yield kept
-    component = brute_components([(i, brute_fingerprint(t)) for i, t in kept], 2)
+    component = brute_components([(i, brute_wide(t, 5, 8)) for i, t in kept], 3)
     kept = [(i, t) for i, t in kept if component[i] == i]
     yield kept
 

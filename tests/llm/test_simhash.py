@@ -26,8 +26,27 @@ def brute_fingerprint(text, k=3):
     return sum(1 << b for b in range(64) if 2 * counts[b] > len(shingles))
 
 
+def brute_wide(text, k, prints):
+    """The fingerprints of the set of shingles, mixed one by one."""
+    words = text.encode().lower().split()
+    hashes = {xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), 42) for i in range(max(1, len(words) - k + 1))} if words else set()
+    whole, out = (1 << 64) - 1, []
+    for r in range(prints):
+        mixed = []
+        for x in hashes:
+            if r:
+                x = (x + r * 0x9E3779B97F4A7C15) & whole
+                x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & whole
+                x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & whole
+                x ^= x >> 31
+            mixed.append(x)
+        out.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in mixed) > len(mixed)))
+    return out
+
+
 def brute_components(fps, distance):
-    """fps: (id, fp) -> {id: component}."""
+    """fps: (id, one fingerprint or several) -> {id: component}."""
+    fps = [(i, f if isinstance(f, list) else [f]) for i, f in fps]
     parent = {i: i for i, _ in fps}
 
     def root(x):
@@ -37,7 +56,7 @@ def brute_components(fps, distance):
 
     for n, (i, a) in enumerate(fps):
         for j, b in fps[:n]:
-            if bin(a ^ b).count("1") <= distance:
+            if any(bin(x ^ y).count("1") <= distance for x, y in zip(a, b)):
                 x, y = root(i), root(j)
                 parent[max(x, y)] = min(x, y)
     return {i: root(i) for i, _ in fps}
@@ -96,6 +115,23 @@ def test_chain_of_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_several_fingerprints(spark):
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    docs = []
+    for c in range(12):
+        text = [r.choice(words) for _ in range(r.randrange(1, 90))]
+        for _ in range(8):
+            docs.append((len(docs) * 7 + c % 3, " ".join(text)))
+            text[r.randrange(len(text))] = r.choice(words)
+    docs += [(5000, ""), (5001, None), (5002, docs[0][1]), (5002, docs[0][1])]
+    want = brute_components([(i, brute_wide(t or "", 5, 4)) for i, t in docs], 3)
+    got = simhash.near_duplicates(frame(spark, docs), words=5, distance=3, prints=4).collect()
+    assert len(got) == len(docs) and {r.doc_id: r.component_id for r in got} == want
+    assert len(set(want.values())) < 92
+    assert {r.doc_id: r.fingerprint for r in got} == {i: "".join(f"{x:016x}" for x in brute_wide(t or "", 5, 4)) for i, t in docs}
+
+
 def check(got, docs):
     fps = [(i, brute_fingerprint(t)) for i, t in docs]
     want = brute_components(fps, 2)
