@@ -3,7 +3,10 @@ none, in the same way on both sides; floating-point results are rounded on both
 
 from __future__ import annotations
 
+import atexit
 import math
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -41,8 +44,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; in a local session without one, in a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/quarrymill"
+    """A new path in the folder that driver and executors share; a local session without one gets a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if base is None:
+        base = f"file://{tempfile.mkdtemp(prefix='quarrymill-')}"
+        atexit.register(shutil.rmtree, base.removeprefix("file://"), ignore_errors=True)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
