@@ -6,8 +6,8 @@ spherical k-means finds among its sample rows, since one language is written in
 of the centroid with the largest cosine; its score is the softmax over the best cosines of the languages. A text whose
 best cosine lies under a quarter of the least that a sample row of that language has is rejected: no language that was learned is near.
 
-The centroids come from a bounded sample of labelled rows, at most `per_language` of each language, those with the
-smallest hash of their id; every row is classified from its whole text. Null texts and texts without a letter get
+The centroids come from a bounded sample of labelled rows, at most `per_language` of each of the MOST_LANGUAGES most
+frequent languages, those with the smallest hash of their id; every row is classified from its whole text. Null texts and texts without a letter get
 `und`, score 0, and are rejected. If no language can be learned, every text gets that.
 """
 
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import documents, prepare
 
 BITS, PER_LANGUAGE, CLUSTERS, SHARPNESS = 13, 400, 3, 25.0
+MOST_LANGUAGES = 200
 BETWEEN = re.compile(r"[\W\d_]+")
 
 
@@ -103,9 +104,9 @@ class Centroids:
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, bits: int = BITS, clusters: int = CLUSTERS) -> Centroids:
     """Centroids from the rows of docs (doc_id, text, lang) with text and lang."""
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
-    languages = [r.lang for r in marked.select("lang").distinct().collect()]
+    frequent = marked.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
     chosen = None
-    for language in sorted(languages):
+    for language in sorted(r.lang for r in frequent.collect()):
         part = marked.where(F.col("lang") == language).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_language)
         chosen = part if chosen is None else chosen.union(part)
     if chosen is None:
