@@ -5,7 +5,7 @@ A suffix array of the corpus, restricted to what can repeat and cut off where it
 
 1. Blocks. Documents are gathered into blocks of some MB (one packed row each), written once to the shared folder.
 2. Anchors. A string's anchor is the least hash of its GRAM-byte substrings. Strings that follow each other in a text mostly
-   have the same anchor, so a text falls into short stretches: the suffix at a stretch's start, as far as its last string.
+   have the same anchor, so a text falls into short stretches (of STRETCH strings at most): the suffix at a stretch's start, as far as its last string.
    Equal strings have equal anchors. Each block sends the 32 bits below the bucket of its distinct anchors, and learns
    which of them occur in two documents. Nothing else can hold a repeat.
 3. Runs. Each block sorts its distinct suffixes with shared anchors, after their anchors, and sends each bucket a
@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from .common import documents, materialize, prepare, texts
 
 GRAM, LENGTH = 24, 50
-BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
+BLOCK_BYTES, BUCKET_BYTES = 2 << 20, 4 << 20
+STRETCH = 64
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -108,9 +109,16 @@ class Block:
         np.not_equal(least[1:], least[:-1], out=new[1:])
         new[1:] |= ~valid[:-1]
         new &= valid
-        self.first = np.flatnonzero(new)
-        ends = np.flatnonzero(valid & np.concatenate([new[1:] | ~valid[1:], [True]]))
-        self.last, self.anchor = ends, least[self.first]
+        first, last = np.flatnonzero(new), np.flatnonzero(valid & np.concatenate([new[1:] | ~valid[1:], [True]]))
+        # Long stretches (a word again and again) are cut: their pieces are mostly the same few.
+        pieces = (last - first) // STRETCH + 1
+        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        self.first = np.repeat(first, pieces) + STRETCH * nth
+        self.last = np.minimum(np.repeat(last, pieces), self.first + STRETCH - 1)
+        # The least of many hashes is mostly small: mixed again, one to one, so that buckets by its high bits are even.
+        self.anchor = least[self.first] * np.uint64(0xD6E8FEB86659FD93)
+        self.anchor ^= self.anchor >> np.uint64(32)
+        self.anchor *= np.uint64(0xD6E8FEB86659FD93)
         self.doc = np.searchsorted(self.ends, self.first, side="right")
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
