@@ -21,6 +21,7 @@ one shingle. Rows that repeat a doc_id get a row each. An empty table gives no r
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import documents, materialize, prepare, release, texts
 from .components import components
 
-BITS, LARGE = 64, 3000
+BITS, LARGE, MASKS = 64, 3000, 2000
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -89,17 +90,16 @@ def fingerprints(docs: DataFrame, words: int = 3, prints: int = 1) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, " + ", ".join(f"fp{r} long" for r in range(prints)))
 
 
-def segments(distance: int) -> list[tuple[int, int]]:
-    """(first bit, width) of the fewest segments of which one differs in at most one bit."""
-    n = distance // 2 + 1
+def segments(n: int) -> list[tuple[int, int]]:
+    """(first bit, width) of n segments."""
     cuts = [BITS * i // n for i in range(n + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def variants(fps: np.ndarray, distance: int) -> np.ndarray:
+def variants(fps: np.ndarray, n: int) -> np.ndarray:
     """A column for each segment and bit of it: the segment without that bit, and which ones they are."""
     out = []
-    for number, (first, width) in enumerate(segments(distance)):
+    for number, (first, width) in enumerate(segments(n)):
         part = fps >> np.uint64(first) & np.uint64((1 << width) - 1)
         for bit in range(width):
             low = part & np.uint64((1 << bit) - 1)
@@ -110,7 +110,8 @@ def variants(fps: np.ndarray, distance: int) -> np.ndarray:
 
 
 def near(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes of pairs of distinct values that differ in at most `distance` bits."""
+    """Indexes of pairs of distinct values that differ in at most `distance` bits: all such pairs, or, where their changes are
+    too many to look up, enough of them to have the same components."""
     n = len(fps)
     if n <= LARGE:
         left, right = [], []
@@ -121,9 +122,11 @@ def near(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
             left.append(i[keep] + a)
             right.append(j[keep])
         return np.concatenate(left), np.concatenate(right)
+    free = [b for b in range(BITS) if np.bitwise_or.reduce(fps ^ fps[0]) >> np.uint64(b) & np.uint64(1)]
+    if sum(comb(len(free), k) for k in range(1, distance + 1)) > MASKS:
+        return _tree(fps, distance)
     order = np.argsort(fps)
     ordered = fps[order]
-    free = [b for b in range(BITS) if np.bitwise_or.reduce(fps ^ fps[0]) >> np.uint64(b) & np.uint64(1)]
     left, right = [], []
     for k in range(1, distance + 1):
         for bits in combinations(free, k):
@@ -135,6 +138,24 @@ def near(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(left), np.concatenate(right)) if left else (np.array([], int), np.array([], int))
 
 
+def _tree(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs with the same components: each value that is reached is compared with those not yet reached, so a dense group
+    costs about its size."""
+    left, right = [np.array([], int)], [np.array([], int)]
+    rest = np.arange(len(fps))
+    while len(rest):
+        reached, rest = [rest[0]], rest[1:]
+        while reached and len(rest):
+            x = reached.pop()
+            close = np.bitwise_count(fps[rest] ^ fps[x]) <= distance
+            hit = rest[close]
+            rest = rest[~close]
+            left.append(np.full(len(hit), x))
+            right.append(hit)
+            reached.extend(hit.tolist())
+    return np.concatenate(left), np.concatenate(right)
+
+
 class Forest:
     """Union-find over the nodes that have links; the smallest node is the root."""
 
@@ -159,8 +180,10 @@ class Forest:
         return [(x, r) for x in list(self.parent) if (r := self.root(x)) != x]
 
 
-def links(nodes: DataFrame, distance: int) -> DataFrame:
-    """(u, v): edges between the ids of nodes (id, fp) with the same components as all links."""
+def links(nodes: DataFrame, distance: int, n_segments: int | None = None) -> DataFrame:
+    """(u, v): edges between the ids of nodes (id, fp) with the same components as all links. n_segments: a link must also
+    differ in at most one bit of one of so many segments; by default so many that every link does."""
+    n_segments = n_segments or distance // 2 + 1
 
     def index(batches):
         import pyarrow as pa
@@ -168,7 +191,7 @@ def links(nodes: DataFrame, distance: int) -> DataFrame:
         for b in batches:
             ids, fps = b.column(0).to_numpy(), b.column(1).to_numpy().view("u8")
             for at in range(0, len(ids), 2000):
-                keys = variants(fps[at : at + 2000], distance)
+                keys = variants(fps[at : at + 2000], n_segments)
                 n, k = keys.shape
                 yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view("i8")), pa.array(np.repeat(fps[at : at + n], k).view("i8")), pa.array(np.repeat(ids[at : at + n], k))], names=["key", "fp", "id"])
 
@@ -211,9 +234,10 @@ def links(nodes: DataFrame, distance: int) -> DataFrame:
     return indexed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(meet, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, prints: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, prints: int = 1, n_segments: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) of each row of docs. prints: with several independent fingerprints, documents
-    are linked if any of them differs in at most `distance` bits; each is indexed in a pass of its own."""
+    are linked if any of them differs in at most `distance` bits; each is indexed in a pass of its own. n_segments: ask
+    further that one of so many segments differs in at most one bit, which keeps the index small for large distances."""
     prepare(docs.sparkSession)
     spark, conf = docs.sparkSession, docs.sparkSession.conf
     names = [f"fp{r}" for r in range(prints)]
@@ -225,7 +249,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, prints:
         edges = None
         for name in names:
             each = nodes if prints == 1 else nodes.groupBy(name).agg(F.min("id").alias("id"))
-            found = links(each.select("id", F.col(name).alias("fp")), distance)
+            found = links(each.select("id", F.col(name).alias("fp")), distance, n_segments)
             if prints > 1:  # nodes with this fingerprint in common
                 least = each.select(F.col(name).alias("same"), F.col("id").alias("u"))
                 found = found.unionByName(nodes.join(least, F.col(name) == F.col("same")).where("id != u").select("u", F.col("id").alias("v")))

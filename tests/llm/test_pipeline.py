@@ -33,7 +33,7 @@ def brute_stages(docs, known):
         groups[t].append(i)
     kept = sorted({max(g): t for t, g in groups.items()}.items())
     yield kept
-    component = brute_components([(i, brute_wide(t, 5, 8)) for i, t in kept], 3)
+    component = brute_components([(i, brute_wide(t, 5, 8)) for i, t in kept], 5, 2)
     kept = [(i, t) for i, t in kept if component[i] == i]
     yield kept
 

@@ -44,7 +44,13 @@ def brute_wide(text, k, prints):
     return out
 
 
-def brute_components(fps, distance):
+def near(x, y, distance, n):
+    parts = [64 * i // n for i in range(n + 1)]
+    d = f"{x ^ y:064b}"[::-1]
+    return d.count("1") <= distance and min(d[a:b].count("1") for a, b in zip(parts, parts[1:])) <= 1
+
+
+def brute_components(fps, distance, segments=None):
     """fps: (id, one fingerprint or several) -> {id: component}."""
     fps = [(i, f if isinstance(f, list) else [f]) for i, f in fps]
     parent = {i: i for i, _ in fps}
@@ -56,7 +62,7 @@ def brute_components(fps, distance):
 
     for n, (i, a) in enumerate(fps):
         for j, b in fps[:n]:
-            if any(bin(x ^ y).count("1") <= distance for x, y in zip(a, b)):
+            if any(near(x, y, distance, segments or distance // 2 + 1) for x, y in zip(a, b)):
                 x, y = root(i), root(j)
                 parent[max(x, y)] = min(x, y)
     return {i: root(i) for i, _ in fps}
@@ -78,9 +84,9 @@ def test_variants_find_all_links(distance):
     for _ in range(200):
         a = r.getrandbits(64)
         b = a ^ sum(1 << x for x in r.sample(range(64), distance))
-        x, y = simhash.variants(np.array([a, b], "u8"), distance)
+        x, y = simhash.variants(np.array([a, b], "u8"), distance // 2 + 1)
         assert (x == y).any()
-    assert len({int(v) for v in simhash.variants(np.array([0], "u8"), distance)[0]}) == 64
+    assert len({int(v) for v in simhash.variants(np.array([0], "u8"), distance // 2 + 1)[0]}) == 64
 
 
 @pytest.mark.parametrize("distance", [1, 2])
@@ -90,6 +96,13 @@ def test_large_buckets_like_small_ones(distance, monkeypatch):
     pairs = {tuple(sorted(p)) for p in zip(*map(np.ndarray.tolist, simhash.near(fps, distance)))}
     monkeypatch.setattr(simhash, "LARGE", 10)
     assert pairs == {tuple(sorted(p)) for p in zip(*map(np.ndarray.tolist, simhash.near(fps, distance)))} and pairs
+    monkeypatch.setattr(simhash, "MASKS", 0)
+    forests = []
+    for found in (pairs, zip(*map(np.ndarray.tolist, simhash.near(fps, distance)))):
+        forests.append(simhash.Forest())
+        for a, b in found:
+            forests[-1].link(a, b)
+    assert sorted(forests[0].edges()) == sorted(forests[1].edges())
 
 
 @pytest.mark.parametrize("distance", [1, 2, 3])
@@ -125,8 +138,8 @@ def test_several_fingerprints(spark):
             docs.append((len(docs) * 7 + c % 3, " ".join(text)))
             text[r.randrange(len(text))] = r.choice(words)
     docs += [(5000, ""), (5001, None), (5002, docs[0][1]), (5002, docs[0][1])]
-    want = brute_components([(i, brute_wide(t or "", 5, 4)) for i, t in docs], 3)
-    got = simhash.near_duplicates(frame(spark, docs), words=5, distance=3, prints=4).collect()
+    want = brute_components([(i, brute_wide(t or "", 5, 4)) for i, t in docs], 7, 2)
+    got = simhash.near_duplicates(frame(spark, docs), words=5, distance=7, prints=4, n_segments=2).collect()
     assert len(got) == len(docs) and {r.doc_id: r.component_id for r in got} == want
     assert len(set(want.values())) < 92
     assert {r.doc_id: r.fingerprint for r in got} == {i: "".join(f"{x:016x}" for x in brute_wide(t or "", 5, 4)) for i, t in docs}
