@@ -15,7 +15,8 @@ def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Every node's neighbours (the larger ones, or the smaller ones and itself) move to its smallest neighbour."""
     near = edges.unionByName(_pairs(edges, "v", "u")) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    # A table of its own: the join then stands between two exchanges, and a hub's partition can be split.
+    least = materialize(near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
     moved = near.join(least, "u")
     if large:
         return _pairs(moved.where("v > u"), "v", "m").where("u != v").distinct()
@@ -25,7 +26,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """edges (u, v) -> (node, component): the smallest node that each node with an edge reaches. Each round's edges are
     written to the shared folder, so plans stay short and lost executors cost one round at most. A hub's edges are
-    combined before they are exchanged; the joins' hot keys are left to adaptive execution."""
+    combined before they are exchanged, and adaptive execution splits the joins' hot keys."""
     now = materialize(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u != v").distinct(), "edges")
     before = None
     for _ in range(max_rounds):
