@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, prepare, texts
+from .common import documents, materialize, prepare, texts
 
 KINDS = ("email", "ip", "card", "phone")
 PRECISION = 0.99
@@ -274,9 +274,10 @@ def select(rows: DataFrame, selector: Selector) -> DataFrame:
 
 
 def find(docs: DataFrame, learn_from: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, base_{kind} ..., base, spans) of each row; the trees are fitted to learn_from, else to docs."""
+    """(doc_id, base_{kind} ..., base, spans) of each row; the trees are fitted to learn_from, else to docs. Proposals are
+    written to the shared folder, without the texts: they are found once, counted, and selected from."""
     prepare(docs.sparkSession)
-    rows = proposals(texts(docs, id_col, text_col))
+    rows = materialize(proposals(texts(docs, id_col, text_col)).drop("text"), "proposals")
     selector = learn(rows if learn_from is None else proposals(texts(learn_from, id_col, text_col)))
     return select(rows, selector)
 
@@ -291,7 +292,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     names = docs.columns
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), F.lit(0).cast("long").alias("doc_id"))
     prepare(docs.sparkSession)
-    rows = proposals(packed)
+    rows = materialize(proposals(packed).drop("text"), "proposals").withColumn("text", F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")))
     rows = select(rows, learn(rows))
     marks = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
