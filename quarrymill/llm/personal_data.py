@@ -85,17 +85,21 @@ def _running(df: DataFrame, lengths: Column, name: str) -> DataFrame:
 
 def matches(df: DataFrame, name: str, pattern: str, hint: str = "%") -> DataFrame:
     """df (text, ...) with the column `name`: an array of (start, stop, value, before, after) of the pattern's matches.
-    before and after are the text up to the neighbouring matches."""
+    before and after are the text up to the neighbouring matches, with the nearest character of these."""
     regex, empty = F.lit(pattern), F.array().cast("array<string>")
     maybe = F.col("text").like(hint)
     df = df.withColumn("_found", F.when(maybe, F.regexp_extract_all("text", regex, F.lit(0))).otherwise(empty))
     df = df.withColumn("_gaps", F.when(F.size("_found") > 0, F.split("text", pattern, -1)).otherwise(empty))
     df = _running(df, F.zip_with(F.slice("_gaps", 1, F.size("_found")), "_found", lambda g, v: F.char_length(g).cast("long") + F.char_length(v)), "_at")
     rows = F.transform(
-        F.arrays_zip(F.col("_found").alias("value"), F.col("_at").alias("stop"), F.slice("_gaps", 1, F.size("_found")).alias("before"), F.slice(F.col("_gaps"), 2, F.size("_found")).alias("after")),
+        F.arrays_zip(
+            F.col("_found").alias("value"), F.col("_at").alias("stop"), F.slice("_gaps", 1, F.size("_found")).alias("before"), F.slice(F.col("_gaps"), 2, F.size("_found")).alias("after"),
+            F.concat(F.array(F.lit("")), F.slice("_found", 1, F.size("_found") - 1)).alias("previous"), F.concat(F.slice("_found", 2, F.size("_found")), F.array(F.lit(""))).alias("next"),
+        ),
         lambda m: F.struct(
             (m["stop"] - F.char_length(m["value"])).cast("long").alias("start"), m["stop"].cast("long").alias("stop"), m["value"].alias("value"),
-            F.right(m["before"], F.lit(40)).alias("before"), F.left(m["after"], F.lit(2)).alias("after"),
+            F.right(F.concat(F.right(m["previous"], F.lit(1)), m["before"]), F.lit(40)).alias("before"),
+            F.left(F.concat(m["after"], F.left(m["next"], F.lit(1))), F.lit(2)).alias("after"),
         ),
     )
     none = F.array().cast("array<struct<start:bigint,stop:bigint,value:string,before:string,after:string>>")

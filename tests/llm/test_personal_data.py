@@ -77,7 +77,9 @@ def test_proposals_inside_dropped_matches(spark):
     known = [(i, f"Call +1 (269) 555-{3000 + i} now, card 4524132264652876 and number 4524132264652877 here.") for i in range(40)]
     hidden = (50, "x +1 (269) 555-3296 4524132264652876 y")
     clean = (51, "Version 3.0 of 2024-11-27 has 1234567890123456 parts, see section 4.5.6 (page 77).")
-    got = {r.doc_id: r for r in as_query(frame(spark, [*known, hidden, clean]))}
+    pair = (52, "two: 4524132264652876 4111111111111111.")
+    got = {r.doc_id: r for r in as_query(frame(spark, [*known, hidden, clean, pair]))}
+    assert (got[52].base, got[52].spans) == ("", "card:5:21,card:22:38")
     assert got[50].base == ""
     assert got[50].spans == "phone:2:19,card:20:36"
     assert got[51].spans == ""
