@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col
 
-GATHERED = 100_000
+GATHERED = 20_000
 
 
 def medians(df: DataFrame, values: dict[str, Column], gathered: int = GATHERED) -> dict[str, float | None]:
