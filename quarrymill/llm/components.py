@@ -30,7 +30,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = materialize(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u != v").distinct(), "edges")
     before = None
     for _ in range(max_rounds):
-        state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").bitwiseAND((1 << 40) - 1))).first())
+        state = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
         if state == before or not state[0]:
             return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(
                 now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
