@@ -56,7 +56,10 @@ def exact_duplicates(docs: DataFrame, keep: str = "min", digest_bytes: int = 16,
     prepare(docs.sparkSession)
     rows = texts(docs, id_col, text_col)
     runs = flush(rows, digest_bytes)
-    found = runs.join(compact(runs, keep), "digest")
+    # The compacted level is a table of its own: the join then stands between two exchanges, whose hot partitions adaptive
+    # execution can split, which it can't do for a join that shares its stage with the aggregate.
+    level = materialize(compact(runs, keep), "dedup-level")
+    found = runs.join(level, "digest")
     hits = found.where("group_size > 1").select("doc_id", "digest").distinct()
     collided = materialize(unsound(rows, hits), "dedup-collided")
     if not collided.isEmpty():
