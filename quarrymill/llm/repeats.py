@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import documents, materialize, prepare, texts
 
 GRAM, LENGTH = 24, 50
-BLOCK_BYTES, BUCKET_BYTES = 2 << 20, 4 << 20
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
 STRETCH = 64
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
