@@ -296,7 +296,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     names = docs.columns
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), F.lit(0).cast("long").alias("doc_id"))
     prepare(docs.sparkSession)
-    rows = materialize(proposals(packed).drop("text"), "proposals").withColumn("text", F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")))
+    rows = proposals(packed)  # found twice: keeping whole rows beside their proposals takes more memory than time
     rows = select(rows, learn(rows))
     marks = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
