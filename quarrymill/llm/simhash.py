@@ -12,7 +12,9 @@ capped. A task passes on a spanning forest of its links, not the pairs. The comp
 by star rounds over tables.
 
 One fingerprint links few documents that are less than almost equal. With several (`prints`), of the set of shingles,
-documents are linked if any of them is near.
+documents are linked if any of them is near. With `similarity`, near fingerprints only propose a pair: it is linked if
+the sets of shingles have that Jaccard similarity. Fingerprints are then taken in batches, and what earlier batches have
+linked isn't proposed again, so a large group costs about its size once.
 
 Null and empty texts have the fingerprint zero and are linked like any other. A text with fewer words than a shingle is
 one shingle. Rows that repeat a doc_id get a row each. An empty table gives no rows.
@@ -31,6 +33,7 @@ from .common import documents, materialize, prepare, release, texts
 from .components import components
 
 BITS, LARGE, MASKS = 64, 3000, 2000
+SMALL = 64  # buckets of up to so many rows propose all their near pairs, larger ones a spanning forest of them
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -64,16 +67,24 @@ def fingerprint(text: str, words: int = 3) -> int:
 def wide_fingerprint(text: str, words: int, prints: int) -> list[int]:
     """Independent fingerprints of the set of shingles: the first hashes its shingles as they are, the others mix them."""
     h = np.unique(shingle_hashes(text, words))
-    out = []
-    for r in range(prints):
-        x = h
-        if r:
-            x = h + np.uint64(r * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-                x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
-            x ^= x >> np.uint64(31)
-        out.append(majority(x))
-    return out
+    numbers = np.array([r * 0x9E3779B97F4A7C15 & (1 << 64) - 1 for r in range(prints)], "<u8")[:, None]
+    ones = np.uint64(0x0101010101010101)
+    counts = np.zeros((prints, 8, 8), np.int64)  # by byte of the hash and bit of the byte
+    for at in range(0, len(h), 255):  # sums of a byte's bits fit into it
+        x = h[None, at : at + 255] + numbers
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
+        x ^= x >> np.uint64(31)
+        x[0] = h[at : at + 255]
+        for bit in range(8):
+            counts[:, :, bit] += (x >> np.uint64(bit) & ones).sum(1, dtype="<u8").view("u1").reshape(prints, 8)
+    return np.packbits(counts.reshape(prints, BITS) * 2 > len(h), axis=1, bitorder="little").view("<u8")[:, 0].tolist()
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sets of shingle hashes, both without repeats; that of two empty sets is 1."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
 def fingerprints(docs: DataFrame, words: int = 3, prints: int = 1) -> DataFrame:
@@ -234,10 +245,109 @@ def links(nodes: DataFrame, distance: int, n_segments: int | None = None) -> Dat
     return indexed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(meet, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, prints: int = 1, n_segments: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def proposed(nodes: DataFrame, distance: int) -> DataFrame:
+    """(u, v): pairs of nodes (id, fp, part) of different parts whose fingerprints differ in at most `distance` bits. All such
+    pairs of small buckets; of a large bucket, enough to connect what its near pairs connect."""
+    n_segments = distance // 2 + 1
+
+    def index(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            ids, fps, parts = b.column(0).to_numpy(), b.column(1).to_numpy().view("u8"), b.column(2).to_numpy()
+            for at in range(0, len(ids), 2000):
+                keys = variants(fps[at : at + 2000], n_segments)
+                n, k = keys.shape
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys.reshape(-1).view("i8")), *(pa.array(np.repeat(x[at : at + n], k)) for x in (fps.view("i8"), ids, parts))], names=["key", "fp", "id", "part"]
+                )
+
+    def meet(batches):
+        import pyarrow as pa
+
+        forest, rest, found = Forest(), [np.empty(0, "i8")] * 4, [np.empty((0, 2), "i8")]
+
+        def settle(keys, fps, ids, parts):
+            bounds = np.flatnonzero(np.diff(keys)) + 1
+            starts, stops = np.concatenate([[0], bounds]), np.concatenate([bounds, [len(keys)]])
+            small = np.repeat(stops - starts <= SMALL, stops - starts)
+            for k in range(1, SMALL):
+                i = np.flatnonzero((keys[:-k] == keys[k:]) & small[k:])
+                if len(i) == 0:
+                    break
+                i = i[(np.bitwise_count(fps[i] ^ fps[i + k]) <= distance) & (parts[i] != parts[i + k])]
+                found.append(np.stack([ids[i], ids[i + k]], 1))
+            for s, e in zip(starts[stops - starts > SMALL].tolist(), stops[stops - starts > SMALL].tolist(), strict=True):
+                own, part = ids[s:e], parts[s:e]
+                i, j = near(fps[s:e], distance)
+                other = part[i] != part[j]
+                for x, y in zip(own[i[other]].tolist(), own[j[other]].tolist(), strict=True):
+                    if forest.root(x) != forest.root(y):
+                        forest.link(x, y)
+                        found.append(np.array([[x, y]]))
+
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            now = [np.concatenate([r, b.column(i).to_numpy()]) for i, r in enumerate(rest)]
+            last = np.searchsorted(now[0], now[0][-1])  # sorted: the last bucket may go on
+            if last:
+                settle(now[0][:last], now[1][:last].view("u8"), now[2][:last], now[3][:last])
+            rest = [x[last:] for x in now]
+        if len(rest[0]):
+            settle(rest[0], rest[1].view("u8"), rest[2], rest[3])
+        pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+        for at in range(0, len(pairs), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[at : at + 100_000, c])) for c in (0, 1)], names=["u", "v"])
+
+    indexed = nodes.select("id", "fp", "part").mapInArrow(index, "key long, fp long, id long, part long")
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return indexed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(meet, "u long, v long")
+
+
+def similar(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) of doc_ids of docs (doc_id, text) whose sets of shingles have at least this Jaccard similarity."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            keep = [jaccard(*(np.unique(shingle_hashes(t, words)) for t in two)) >= similarity for two in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    left, right = docs.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), docs.select(F.col("doc_id").alias("v"), F.col("text").alias("b"))
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def _verified(docs: DataFrame, nodes: DataFrame, names: list[str], words: int, distance: int, similarity: float) -> DataFrame:
+    """(node, component) by the pairs of nodes that any fingerprint proposes and the texts confirm."""
+    spark, conf = nodes.sparkSession, nodes.sparkSession.conf
+    edges, found = None, None
+    for batch in filter(None, (names[:1], names[1:7], names[7:])):
+        parted = nodes.withColumn("part", F.col("id"))
+        if found is not None:
+            parted = materialize(nodes.join(found, nodes.id == found.node, "left").select(*nodes.columns, F.coalesce("component", "id").alias("part")), "simhash-parts")
+        pairs = None
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")  # four numbers a row
+        for name in batch:
+            each = parted.groupBy(F.col(name).alias("fp")).agg(F.min(F.struct("id", "part")).alias("m")).select("fp", "m.id", "m.part")
+            same = parted.join(each.select("fp", F.col("id").alias("u"), F.col("part").alias("p")), F.col(name) == F.col("fp")).where("id != u and part != p")
+            new = materialize(proposed(each, distance).unionByName(same.select("u", F.col("id").alias("v"))), "simhash-pairs")
+            release(spark)
+            pairs = new if pairs is None else pairs.unionByName(new)
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")  # two texts a row
+        new = materialize(similar(materialize(pairs.distinct(), "simhash-pairs"), docs, words, similarity).distinct(), "simhash-links")
+        release(spark)
+        edges = new if edges is None else edges.unionByName(new)
+        found = materialize(components(edges), "simhash-components")
+    return found
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, prints: int = 1, n_segments: int | None = None, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id) of each row of docs. prints: with several independent fingerprints, documents
     are linked if any of them differs in at most `distance` bits; each is indexed in a pass of its own. n_segments: ask
-    further that one of so many segments differs in at most one bit, which keeps the index small for large distances."""
+    further that one of so many segments differs in at most one bit, which keeps the index small for large distances.
+    similarity: link only documents whose sets of shingles have this Jaccard similarity at least; not with n_segments."""
     prepare(docs.sparkSession)
     spark, conf = docs.sparkSession, docs.sparkSession.conf
     names = [f"fp{r}" for r in range(prints)]
@@ -247,7 +357,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, prints:
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")  # three numbers a row
     try:
         edges = None
-        for name in names:
+        for name in names if similarity is None else ():
             each = nodes if prints == 1 else nodes.groupBy(name).agg(F.min("id").alias("id"))
             found = links(each.select("id", F.col(name).alias("fp")), distance, n_segments)
             if prints > 1:  # nodes with this fingerprint in common
@@ -256,7 +366,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, prints:
                 found = materialize(found, "simhash-links")
                 release(spark)
             edges = found if edges is None else edges.unionByName(found)
-        found = components(edges)
+        found = components(edges) if similarity is None else _verified(texts(docs, id_col, text_col), nodes, names, words, distance, similarity)
     finally:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     labels = nodes.join(found, nodes.id == found.node, "left").select(*names, F.coalesce("component", "id").alias("component_id"))

@@ -161,3 +161,30 @@ def test_nasty(spark):
 def test_whole_table(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     check(simhash.op6(spark, sf).collect(), docs)
+
+
+def test_border_pairs_are_linked_and_verified(spark):
+    r = random.Random(8)
+    docs, pairs = [], {"over": [], "under": []}
+    for n in range(120):
+        words = [f"w{r.randrange(10**6)}" for _ in range(400)]
+        kind, changes = ("over", 8) if n % 2 else ("under", 20)
+        other = list(words)
+        for k in range(changes):
+            other[k * (400 // changes) + 3] = f"x{n}-{k}"
+        docs += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(other))]
+        a, b = ({tuple(t[i : i + 5]) for i in range(396)} for t in (words, other))
+        assert (len(a & b) / len(a | b) >= 0.8) == (kind == "over")
+        pairs[kind].append(2 * n)
+    got = {x.doc_id: x.component_id for x in simhash.near_duplicates(frame(spark, docs), words=5, distance=5, prints=31, similarity=0.8).collect()}
+    assert sum(got[i] == got[i + 1] for i in pairs["over"]) >= 0.9 * len(pairs["over"])
+    assert not any(got[i] == got[i + 1] for i in pairs["under"])
+
+
+def test_verified_groups(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SMALL", 2)
+    base = [f"w{i}" for i in range(300)]
+    docs = [(i, " ".join([*base[:i], f"new{i}", *base[i + 1 :]])) for i in range(100)] + [(500, "one two"), (501, ""), (502, None)]
+    got = {x.doc_id: x.component_id for x in simhash.near_duplicates(frame(spark, docs), words=5, distance=5, prints=7, similarity=0.8).collect()}
+    assert {got[i] for i in range(100)} == {0} and (got[500], got[501], got[502]) == (500, 501, 501)
+    assert simhash.near_duplicates(frame(spark, []), words=5, distance=5, prints=2, similarity=0.8).count() == 0
