@@ -3,8 +3,10 @@
 A text is a vector of hashed byte n-grams (2 to 4, of its lower-cased letters; what stands between them is one blank),
 weighted (1 + log count) times inverse document frequency, of length 1. Each language has several centroids, the clusters that
 spherical k-means finds among its sample rows, since one language is written in several ways. A text gets the language
-of the centroid with the largest cosine; its score is the softmax over the best cosines of the languages. A text whose
-best cosine lies under a quarter of the least that a sample row of that language has is rejected: no language that was learned is near.
+of the centroid with the largest cosine; its score is the softmax over the best cosines of the languages. A text is
+rejected, as no language that was learned is near, if its best cosine lies under SLACK of what all but LOW of that
+language's sample rows have. Their cosines for this are held out: each half is held against the other half's clusters.
+A text of less than ENOUGH distinct n-grams says less: its limit falls with the root of their number.
 
 The centroids come from a bounded sample of labelled rows, at most `per_language` of each of the MOST_LANGUAGES most
 frequent languages, those with the smallest hash of their id; every row is classified from its whole text. Null texts and texts without a letter get
@@ -23,6 +25,7 @@ from .common import documents, prepare
 
 BITS, PER_LANGUAGE, CLUSTERS, SHARPNESS = 13, 400, 3, 25.0
 MOST_LANGUAGES = 200
+LOW, SLACK, ENOUGH = 0.01, 0.65, 200
 BETWEEN = re.compile(r"[\W\d_]+")
 
 
@@ -66,8 +69,18 @@ def cluster(x: np.ndarray, k: int, rounds: int = 10) -> tuple[np.ndarray, np.nda
     return c, x @ c.T
 
 
+def limit(x: np.ndarray, k: int, slack: float) -> float:
+    """The cosine under which a text is none of the language with the rows x. One row has nothing to be held against: a
+    quarter."""
+    if len(x) < 2:
+        return 0.25
+    halves = x[::2], x[1::2]
+    held_out = np.concatenate([(a @ cluster(b, k)[0].T).max(1) for a, b in (halves, halves[::-1])])
+    return slack * float(np.quantile(held_out, LOW))
+
+
 class Centroids:
-    def __init__(self, sample: list[tuple[str, np.ndarray, np.ndarray]], bits: int = BITS, clusters: int = CLUSTERS, slack: float = 0.25):
+    def __init__(self, sample: list[tuple[str, np.ndarray, np.ndarray]], bits: int = BITS, clusters: int = CLUSTERS, slack: float = SLACK):
         self.bits = bits
         df = np.zeros(1 << bits)
         for _, at, _ in sample:
@@ -77,10 +90,10 @@ class Centroids:
         centers, owner, radius = [], [], []
         for j, language in enumerate(self.languages):
             x = vectors([s[1:] for s in sample if s[0] == language], self.idf)
-            c, cosines = cluster(x, clusters)
+            c, _ = cluster(x, clusters)
             centers.extend(c)
             owner += [j] * len(c)
-            radius += [slack * float(cosines.max(1).min())] * len(c)
+            radius += [limit(x, clusters, slack)] * len(c)
         self.centers, self.owner, self.radius = np.array(centers, np.float32), np.array(owner), np.array(radius)
 
     def classify(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
@@ -91,13 +104,14 @@ class Centroids:
             return out
         for begin in range(0, len(at), 200):
             part = at[begin : begin + 200]
-            cosines = vectors([counts(texts[i], self.bits) for i in part], self.idf) @ self.centers.T
+            tallied = [counts(texts[i], self.bits) for i in part]
+            cosines = vectors(tallied, self.idf) @ self.centers.T
             best = np.stack([cosines[:, self.owner == j].max(1) for j in range(len(self.languages))], 1)
             e = np.exp(SHARPNESS * (best - best.max(1, keepdims=True)))
             p = e.max(1) / e.sum(1)
             won, nearest = best.argmax(1), cosines.argmax(1)
             for n, i in enumerate(part):
-                out[i] = self.languages[won[n]], float(min(p[n], 1.0)), bool(cosines[n, nearest[n]] < self.radius[nearest[n]])
+                out[i] = self.languages[won[n]], float(min(p[n], 1.0)), bool(cosines[n, nearest[n]] < self.radius[nearest[n]] * min(1.0, len(tallied[n][0]) / ENOUGH) ** 0.5)
         return out
 
 

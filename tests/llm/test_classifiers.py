@@ -76,3 +76,25 @@ def test_language_nasty(spark):
 def test_nothing_to_learn(spark):
     model = language.learn(languages(spark, []))
     assert {r.lang_pred for r in language.identify(frame(spark), model).collect()} == {"und"}
+
+
+def test_unlearned_latin_languages_are_rejected(sf):
+    import pyarrow.parquet as pq
+
+    by = {}
+    for r in pq.read_table(f"{sf.replace('0.001', '0.1')}/documents.parquet", columns=["text", "lang"]).to_pylist():
+        if r["lang"] and language.has_letter(r["text"]):
+            by.setdefault(r["lang"], []).append(r["text"])
+    model = language.Centroids([(lang, *language.counts(t)) for lang, rows in by.items() for t in rows[:400]])
+    r = np.random.default_rng(3)
+    strange = [
+        "De kinderen spelen in het park terwijl hun ouders koffie drinken en over het weer praten.",
+        "I bambini giocano nel parco mentre i genitori bevono il caffè e parlano del tempo.",
+        "Dzieci bawią się w parku, a ich rodzice piją kawę i rozmawiają o pogodzie.",
+        "Lapset leikkivät puistossa, kun heidän vanhempansa juovat kahvia ja puhuvat säästä.",
+        "Çocuklar parkta oynarken anne babaları kahve içiyor ve hava hakkında konuşuyor.",
+        " ".join("".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), r.integers(3, 10))) for _ in range(60)),
+    ]
+    assert [x[2] for x in model.classify(strange)] == [True] * len(strange)
+    for rows in by.values():
+        assert np.mean([x[2] for x in model.classify(rows[400:900])]) <= 0.015
