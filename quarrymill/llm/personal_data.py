@@ -6,9 +6,11 @@
    phone numbers without a plus, obfuscated addresses, IPv6 and so on. Features of format and context (what stands
    before and after, words such as "call" nearby) are the bits of one number.
 3. Boosted trees. A proposal that is itself a base match has its label from the base check, one away from all base matches
-   of its kind counts as 0, and one strictly inside a failing match has none. Labels are counted per kind and feature
+   of its kind counts as 0, and one strictly inside a failing match has none. Nor has a form that no base rule can judge
+   (obfuscated or Unicode addresses, IPv6, phone numbers without a plus): the features leave out the syntax that sets it
+   apart, so it is judged by format and context. Labels are counted per kind and feature
    number over all rows, a table whose size the number of bits bounds; gradient boosting with trees of depth 2 is fitted
-   to it on the driver, and per kind the threshold is the lowest at which PRECISION of the labels above are 1.
+   to it on the driver, and per kind the threshold is the lowest at which PRECISION of the labels above are 1, and above which no margin has less.
 4. Selection. Base spans stay. A proposal joins them if its calibrated score passes and it overlaps no base span and no
    accepted proposal that starts before it (of several with one start, the longest counts).
 
@@ -66,7 +68,7 @@ CONTEXT = {
     "card": r"(?i)\b(?:card|visa|credit|karte|tarjeta|carte)\b",
     "phone": r"(?i)\b(?:phone|call|tel|fax|mobile|telefon|llame|appel)",
 }
-FEATURES = 11
+FEATURES = 8
 BLOCK = 64
 
 
@@ -136,14 +138,11 @@ def features(kind: str, m: Column) -> Column:
         F.when(F.lit(kind == "card"), luhn(_digits(value))).otherwise(F.lit(False)),
         n.between(14, 19),
         n.between(10, 15),
-        value.startswith("+"),
         value.rlike(r"[\x20().-]"),
-        value.rlike(r"(?i)at[)\]}]"),
-        value.rlike(r"^[\x00-\x7f]*$"),
+        F.lit(kind == "email") | value.rlike(r"^[\x00-\x7f]*$"),
         F.right(m["before"], F.lit(1)).rlike(r"[\p{L}0-9_./=#-]"),
         F.left(m["after"], F.lit(1)).rlike(r"[\p{L}0-9_/=#]"),
         m["before"].rlike(CONTEXT[kind]),
-        value.rlike(":"),
     ]
     assert len(bits) == FEATURES
     return sum((b.cast("int") * (1 << i) for i, b in enumerate(bits)), F.lit(0)).cast("int")
@@ -156,6 +155,11 @@ def _within_run(kind: str, m: Column) -> Column:
     return m["before"].rlike(r"[0-9][\x20-]?$") | m["after"].rlike(r"^[\x20-]?[0-9]")
 
 
+def _unjudged(kind: str, value: Column) -> Column:
+    """Whether a proposal has a form that no base match can have."""
+    return {"email": ~value.rlike(r"^[\x00-\x7f]*@[\x00-\x7f]*$"), "ip": value.contains(":"), "phone": ~value.startswith("+")}.get(kind, F.lit(False))
+
+
 def _over(spans: Column, m: Column) -> Column:
     return F.exists(spans, lambda s: (s["start"] < m["stop"]) & (m["start"] < s["stop"]))
 
@@ -176,7 +180,7 @@ def proposals(rows: DataFrame) -> DataFrame:
                 m["start"], m["stop"], features(kind, m).alias("bits"),
                 F.when(F.exists(every, lambda b: (b["start"] == m["start"]) & (b["stop"] == m["stop"]) & b["sound"]), 1)
                 .when(F.exists(every, lambda b: (b["start"] == m["start"]) & (b["stop"] == m["stop"])), 0)
-                .when(~_over(every, m) & ~_within_run(kind, m), 0).alias("label"),
+                .when(~_over(every, m) & ~_within_run(kind, m) & ~_unjudged(kind, m["value"]), 0).alias("label"),
             ),
         )
         rows = rows.withColumn(f"more_{kind}", labelled)
@@ -217,12 +221,18 @@ def boost(table: list[tuple[int, int, int]], rounds: int = 30, rate: float = 0.3
 
 
 def threshold(table, margins, precision: float = PRECISION) -> float | None:
-    """The lowest margin at and above which at least this share of the labels is 1 (counted with one more 0)."""
-    lowest, zeros, ones = None, 1, 0
-    ordered = sorted(zip(margins, table, strict=True), key=lambda x: -x[0])
-    for i, (m, (_, zero, one)) in enumerate(ordered):
+    """The lowest margin at and above which at least this share of the labels is 1, at each margin and in all, so that few
+    zeros among many ones don't open the margins where they lie."""
+    lowest, zeros, ones = None, 0, 0
+    counted = {}
+    for m, (_, zero, one) in zip(margins, table, strict=True):
+        z, o = counted.get(m, (0, 0))
+        counted[m] = z + zero, o + one
+    for m, (zero, one) in sorted(counted.items(), reverse=True):
         zeros, ones = zeros + zero, ones + one
-        if (i + 1 == len(ordered) or ordered[i + 1][0] < m) and ones and ones / (zeros - 1 + ones) >= precision:
+        if zero + one and one / (zero + one) < precision:
+            break
+        if ones and ones / (zeros + ones) >= precision:
             lowest = m
     return lowest
 
@@ -235,6 +245,9 @@ class Selector:
         for kind in KINDS:
             table = sorted(r[1:] for r in counted if r[0] == kind)
             if table and sum(r[2] for r in table):
+                if not sum(r[1] for r in table):  # nothing to tell apart
+                    self.models[kind] = 0.0, [], 0.0
+                    continue
                 start, trees, margins = boost(table)
                 if (lowest := threshold(table, margins)) is not None:
                     self.models[kind] = start, trees, lowest

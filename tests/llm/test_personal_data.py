@@ -116,3 +116,16 @@ def test_boosting_fits_an_interaction(value):
     table = [(0, 50, 0), (1, 0, 50), (2, 0, 50), (3, 50, 0)]
     _, _, margins = pd.boost([(b, z, o) if value else (b, o, z) for b, z, o in table])
     assert ((margins[1] > 0) and (margins[2] > 0) and margins[0] < 0 and margins[3] < 0) == bool(value)
+
+
+@pytest.mark.parametrize("share", [1, 50])
+def test_forms_that_no_base_rule_judges(spark, share):
+    odd = ["mail john (at) example (dot) com now", "host 2001:db8:0:0:0:ff00:42:8329 is up", "call (269) 555-3296 now"]
+    known = [(i, f"call +1 (269) 555-{3000 + i} now, mail a{i}@b.com now, host 10.0.0.{i} is up") for i in range(100)]
+    rows = known + [(1000 + 10 * i + j, t) for i in range(share) for j, t in enumerate(odd)]
+    got = {r.doc_id: r for r in as_query(frame(spark, rows))}
+    assert [got[1000 + j].spans for j in range(3)] == ["email:5:32", "ip:5:32", "phone:5:19"]
+
+
+def test_rare_zeros_do_not_open_their_margin():
+    assert pd.threshold([(0, 1, 0), (1, 0, 500)], [-1.0, 3.0]) == 3.0
