@@ -11,10 +11,14 @@ each is looked up under all changes of up to `distance` of the free bits, which
 capped. A task passes on a spanning forest of its links, not the pairs. The components of these forests are then found
 by star rounds over tables.
 
-One fingerprint links few documents that are less than almost equal. With several (`prints`), of the set of shingles,
-documents are linked if any of them is near. With `similarity`, near fingerprints only propose a pair: it is linked if
-the sets of shingles have that Jaccard similarity. Fingerprints are then taken in batches, and what earlier batches have
-linked isn't proposed again, so a large group costs about its size once.
+One fingerprint links few documents that are less than almost equal: at a similarity of 0.8 the sets' fingerprints differ
+in about ten bits. With several (`prints`), of the set of shingles, documents are linked if any of them is near.
+
+`similar_documents` links by the similarity of the sets of shingles itself. Near fingerprints only propose pairs, and so
+do equal fingerprints of samples: the SAMPLE shingles whose hashes are smallest after mixing, in SAMPLES ways. Two sets
+of similarity s have the same sample with probability s ** SAMPLE. Each proposed pair is tested on the whole sets; tested
+links are contracted before more pairs are proposed, so a large group costs about its size. Buckets of more than FEW
+rows are split by further samples; their rows are otherwise proposed to the centers of their buckets only.
 
 Null and empty texts have the fingerprint zero and are linked like any other. A text with fewer words than a shingle is
 one shingle. Rows that repeat a doc_id get a row each. An empty table gives no rows.
@@ -34,6 +38,7 @@ from .components import components
 
 BITS, LARGE, MASKS = 64, 3000, 2000
 SMALL = 64  # buckets of up to so many rows propose all their near pairs, larger ones a spanning forest of them
+SAMPLES, SAMPLE, TOGETHER, FEW = 8, 3, 2, 16
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -245,6 +250,138 @@ def links(nodes: DataFrame, distance: int, n_segments: int | None = None) -> Dat
     return indexed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(meet, "u long, v long")
 
 
+def sampled_fingerprints(h: np.ndarray, samples: int, size: int = SAMPLE) -> list[int]:
+    """A fingerprint of each of several samples of a set of hashes: the `size` that are smallest after mixing them in another
+    way. The majority of three numbers is a matter of bit operations; of one or two, what is there counts."""
+    if len(h) == 0:
+        return [0] * samples
+    least = np.empty((samples, 0), "<u8")
+    numbers = np.array([(r + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1 for r in range(samples)], "<u8")[:, None]
+    for at in range(0, len(h), 1 << 14):
+        x = h[None, at : at + (1 << 14)] + numbers
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
+        x = np.concatenate([least, x ^ x >> np.uint64(31)], axis=1)
+        least = np.partition(x, size - 1, axis=1)[:, :size] if x.shape[1] > size else x
+    if least.shape[1] == 3:
+        a, b, c = least.T
+        return ((a & b) | (a & c) | (b & c)).tolist()
+    return [majority(np.ascontiguousarray(row)) for row in least]
+
+
+def shingle_sets(docs: DataFrame, words: int, samples: int) -> DataFrame:
+    """(doc_id, digest, fp, samples, hashes) of (doc_id, text): a digest of the set of shingles, its fingerprint, those of its
+    samples, and the upper halves of the hashes themselves in order."""
+
+    def run(batches):
+        import pyarrow as pa
+        import xxhash
+
+        for b in batches:
+            out = []
+            for text in b.column(1).to_pylist():
+                h = np.unique(shingle_hashes(text, words))
+                out.append((xxhash.xxh3_128_digest(h.tobytes()), majority(h), sampled_fingerprints(h, samples), np.unique((h >> np.uint64(32)).astype("<u4")).tobytes()))
+            digests, fps, sampled, hashes = zip(*out, strict=True) if out else ((), (), (), ())
+            signed = np.array(sampled, "u8").reshape(len(out), samples).view("i8").tolist()
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(digests, pa.binary()), pa.array(np.array(fps, "u8").view("i8")), pa.array(signed, pa.list_(pa.int64())), pa.array(hashes, pa.binary())],
+                names=["doc_id", "digest", "fp", "samples", "hashes"],
+            )
+
+    return docs.mapInArrow(run, "doc_id long, digest binary, fp long, samples array<long>, hashes binary")
+
+
+def _shared(a: str, b: str):
+    """How many samples two rows have in common."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) of ids whose sets of shingle hashes (id, hashes) have at least this Jaccard similarity."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            a, c = (b.column(i).to_pylist() for i in (2, 3))
+            keep = [jaccard(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) >= similarity for x, y in zip(a, c, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    some = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
+    needed = materialize(sets.join(some, "id", "left_semi"), "simhash-needed")
+    left, right = needed.select(F.col("id").alias("u"), F.col("hashes").alias("a")), needed.select(F.col("id").alias("v"), F.col("hashes").alias("b"))
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+class _Links:
+    """The links found so far, and the part (connected component) that each node has by them."""
+
+    def __init__(self, nodes: DataFrame, sets: DataFrame, similarity: float):
+        self.nodes, self.sets, self.similarity = nodes, sets, similarity
+        self.edges: DataFrame | None = None
+        self.found: DataFrame | None = None
+
+    def parted(self, rows: DataFrame) -> DataFrame:
+        """rows (id, ...) with `part`."""
+        if self.found is None:
+            return rows.withColumn("part", F.col("id"))
+        return rows.join(self.found.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
+
+    def test(self, pairs: DataFrame) -> None:
+        """Keeps the proposed pairs (u, v) that are similar enough."""
+        pairs = materialize(pairs.distinct(), "simhash-pairs")
+        conf = pairs.sparkSession.conf
+        size = conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")  # two sets a row
+        try:
+            new = materialize(similar(pairs, self.sets, self.similarity), "simhash-links")
+        finally:
+            conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        self.edges = new if self.edges is None else self.edges.unionByName(new)
+        self.found = components(self.edges)
+        release(pairs.sparkSession)
+
+
+def _proposed_by_samples(state: _Links, nodes: DataFrame, samples: int) -> None:
+    """Nodes with a sample in common form a bucket. Each node proposes itself to one of its buckets' centers, the one with
+    which it shares most samples; what the tested links connect to a bucket's center leaves that bucket. Buckets of few
+    rows then propose all pairs of TOGETHER common samples; larger ones are split by a further sample, and so on."""
+    rows = nodes.select("id", F.posexplode("samples").alias("last", "sample")).select("id", "last", F.xxhash64("last", "sample").alias("key"))
+    depth = 1
+    while True:
+        # Tables of their own on both sides of a join, so that a hot key's partition can be split.
+        rows = materialize(rows, "simhash-buckets")
+        centers = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("center")).where("n > 1"), "simhash-centers")
+        if centers.isEmpty():
+            return
+        company = state.parted(rows.join(centers, "key")).join(nodes.select("id", "samples"), "id")
+        heads = centers.select(F.col("center").alias("id")).distinct().join(nodes.select("id", F.col("samples").alias("others")), "id")
+        heads = materialize(heads.withColumnRenamed("id", "center"), "simhash-heads")
+        company = materialize(company.join(_of_center(state, heads), "center"), "simhash-company")
+        shared = _shared("samples", "others")
+        star = company.where((F.col("part") != F.col("center_part")) & (shared >= TOGETHER))
+        pairs = star.where(F.col("n") > (FEW if depth > 1 else 1)).groupBy("id").agg(F.max_by("center", F.struct(shared.alias("s"), -F.col("center"))).alias("u")).select("u", F.col("id").alias("v"))
+        if depth > 1:
+            one, two = (company.where(F.col("n") <= FEW).select(F.col("key").alias("k"), *(F.col(c).alias(c + x) for c in ("id", "samples", "part"))) for x in "12")
+            close = one.join(two.withColumnRenamed("k", "k2"), F.col("k") == F.col("k2")).where("id1 < id2 and part1 != part2").where(_shared("samples1", "samples2") >= TOGETHER)
+            pairs = pairs.unionByName(close.select(F.col("id1").alias("u"), F.col("id2").alias("v")))
+        state.test(pairs)
+        left = state.parted(company.drop("part", "center_part", "others")).join(_of_center(state, heads.drop("others")), "center").where("part != center_part")
+        if depth == 1:  # the same buckets again, without what their centers have
+            rows = left.select("id", "last", "key")
+        else:
+            later = F.filter(F.transform("samples", lambda x, i: F.struct(i.alias("at"), x.alias("next"))), lambda x: x["at"] > F.col("last"))
+            rows = left.where(F.col("n") > FEW).select("id", "key", F.explode(later).alias("e"))
+            rows = rows.select("id", F.col("e.at").alias("last"), F.xxhash64("key", "e.at", "e.next").alias("key"))
+        depth += 1
+
+
+def _of_center(state: _Links, heads: DataFrame) -> DataFrame:
+    """heads (center, ...) with `center_part`."""
+    return state.parted(heads.withColumnRenamed("center", "id")).withColumnsRenamed({"id": "center", "part": "center_part"})
+
+
 def proposed(nodes: DataFrame, distance: int) -> DataFrame:
     """(u, v): pairs of nodes (id, fp, part) of different parts whose fingerprints differ in at most `distance` bits. All such
     pairs of small buckets; of a large bucket, enough to connect what its near pairs connect."""
@@ -271,7 +408,7 @@ def proposed(nodes: DataFrame, distance: int) -> DataFrame:
             bounds = np.flatnonzero(np.diff(keys)) + 1
             starts, stops = np.concatenate([[0], bounds]), np.concatenate([bounds, [len(keys)]])
             small = np.repeat(stops - starts <= SMALL, stops - starts)
-            for k in range(1, SMALL):
+            for k in range(1, FEW):
                 i = np.flatnonzero((keys[:-k] == keys[k:]) & small[k:])
                 if len(i) == 0:
                     break
@@ -305,49 +442,43 @@ def proposed(nodes: DataFrame, distance: int) -> DataFrame:
     return indexed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(meet, "u long, v long")
 
 
-def similar(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (u, v) of doc_ids of docs (doc_id, text) whose sets of shingles have at least this Jaccard similarity."""
+def _verified(nodes: DataFrame, sets: DataFrame, samples: int, distance: int, similarity: float) -> DataFrame:
+    """(node, component) by the pairs of nodes that samples or near fingerprints propose and the sets confirm."""
+    state = _Links(nodes, sets, similarity)
+    _proposed_by_samples(state, nodes, samples)
+    nodes.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")  # four numbers a row
+    rest = materialize(state.parted(nodes.select("id", "fp")), "simhash-parts")
+    each = materialize(rest.groupBy("fp").agg(F.min(F.struct("id", "part")).alias("m")).select("fp", "m.id", "m.part"), "simhash-prints")
+    same = rest.join(each.select("fp", F.col("id").alias("u"), F.col("part").alias("p")), "fp").where("id != u and part != p")
+    state.test(proposed(each, distance).unionByName(same.select("u", F.col("id").alias("v"))))
+    return state.found
 
-    def run(batches):
-        import pyarrow as pa
 
-        for b in batches:
-            keep = [jaccard(*(np.unique(shingle_hashes(t, words)) for t in two)) >= similarity for two in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    left, right = docs.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), docs.select(F.col("doc_id").alias("v"), F.col("text").alias("b"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 2, samples: int = SAMPLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) of each row of docs. Linked are documents whose sets of shingles have at least this Jaccard
+    similarity, if the fingerprints of their sets differ in at most `distance` bits or two of the fingerprints of `samples`
+    samples of these sets are equal. Texts with the same set are one node."""
+    prepare(docs.sparkSession)
+    conf = docs.sparkSession.conf
+    batch = conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    every = shingle_sets(texts(docs, id_col, text_col), words, samples)
+    every = materialize(every.withColumn("row", F.monotonically_increasing_id()), "simhash-sets")
+    least = materialize(every.groupBy("digest").agg(F.min("row").alias("id")), "simhash-least")
+    rows = materialize(every.select("row", "doc_id", "digest", "fp", "samples").join(least, "digest").drop("digest"), "simhash-rows")
+    nodes = rows.where("row = id").select("id", "fp", "samples")
+    try:
+        found = _verified(nodes, every.select(F.col("row").alias("id"), "hashes"), samples, distance, similarity)
+    finally:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    labelled = rows.select("doc_id", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("doc_id", F.coalesce("component", "id").alias("component"))
+    named = materialize(labelled.groupBy("component").agg(F.min("doc_id").alias("component_id")), "simhash-named")
+    return labelled.join(named, "component").select("doc_id", "component_id")
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, names: list[str], words: int, distance: int, similarity: float) -> DataFrame:
-    """(node, component) by the pairs of nodes that any fingerprint proposes and the texts confirm."""
-    spark, conf = nodes.sparkSession, nodes.sparkSession.conf
-    edges, found = None, None
-    for batch in filter(None, (names[:1], names[1:7], names[7:])):
-        parted = nodes.withColumn("part", F.col("id"))
-        if found is not None:
-            parted = materialize(nodes.join(found, nodes.id == found.node, "left").select(*nodes.columns, F.coalesce("component", "id").alias("part")), "simhash-parts")
-        pairs = None
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")  # four numbers a row
-        for name in batch:
-            each = parted.groupBy(F.col(name).alias("fp")).agg(F.min(F.struct("id", "part")).alias("m")).select("fp", "m.id", "m.part")
-            same = parted.join(each.select("fp", F.col("id").alias("u"), F.col("part").alias("p")), F.col(name) == F.col("fp")).where("id != u and part != p")
-            new = materialize(proposed(each, distance).unionByName(same.select("u", F.col("id").alias("v"))), "simhash-pairs")
-            release(spark)
-            pairs = new if pairs is None else pairs.unionByName(new)
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")  # two texts a row
-        new = materialize(similar(materialize(pairs.distinct(), "simhash-pairs"), docs, words, similarity).distinct(), "simhash-links")
-        release(spark)
-        edges = new if edges is None else edges.unionByName(new)
-        found = materialize(components(edges), "simhash-components")
-    return found
-
-
-def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, prints: int = 1, n_segments: int | None = None, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, prints: int = 1, n_segments: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) of each row of docs. prints: with several independent fingerprints, documents
     are linked if any of them differs in at most `distance` bits; each is indexed in a pass of its own. n_segments: ask
-    further that one of so many segments differs in at most one bit, which keeps the index small for large distances.
-    similarity: link only documents whose sets of shingles have this Jaccard similarity at least; not with n_segments."""
+    further that one of so many segments differs in at most one bit, which keeps the index small for large distances."""
     prepare(docs.sparkSession)
     spark, conf = docs.sparkSession, docs.sparkSession.conf
     names = [f"fp{r}" for r in range(prints)]
@@ -357,7 +488,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, prints:
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")  # three numbers a row
     try:
         edges = None
-        for name in names if similarity is None else ():
+        for name in names:
             each = nodes if prints == 1 else nodes.groupBy(name).agg(F.min("id").alias("id"))
             found = links(each.select("id", F.col(name).alias("fp")), distance, n_segments)
             if prints > 1:  # nodes with this fingerprint in common
@@ -366,7 +497,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, prints:
                 found = materialize(found, "simhash-links")
                 release(spark)
             edges = found if edges is None else edges.unionByName(found)
-        found = components(edges) if similarity is None else _verified(texts(docs, id_col, text_col), nodes, names, words, distance, similarity)
+        found = components(edges)
     finally:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     labels = nodes.join(found, nodes.id == found.node, "left").select(*names, F.coalesce("component", "id").alias("component_id"))

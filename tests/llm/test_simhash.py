@@ -163,28 +163,68 @@ def test_whole_table(spark, sf):
     check(simhash.op6(spark, sf).collect(), docs)
 
 
-def test_border_pairs_are_linked_and_verified(spark):
-    r = random.Random(8)
-    docs, pairs = [], {"over": [], "under": []}
-    for n in range(120):
-        words = [f"w{r.randrange(10**6)}" for _ in range(400)]
-        kind, changes = ("over", 8) if n % 2 else ("under", 20)
-        other = list(words)
-        for k in range(changes):
-            other[k * (400 // changes) + 3] = f"x{n}-{k}"
-        docs += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(other))]
-        a, b = ({tuple(t[i : i + 5]) for i in range(396)} for t in (words, other))
-        assert (len(a & b) / len(a | b) >= 0.8) == (kind == "over")
-        pairs[kind].append(2 * n)
-    got = {x.doc_id: x.component_id for x in simhash.near_duplicates(frame(spark, docs), words=5, distance=5, prints=31, similarity=0.8).collect()}
-    assert sum(got[i] == got[i + 1] for i in pairs["over"]) >= 0.9 * len(pairs["over"])
-    assert not any(got[i] == got[i + 1] for i in pairs["under"])
-
-
-def test_verified_groups(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "SMALL", 2)
-    base = [f"w{i}" for i in range(300)]
-    docs = [(i, " ".join([*base[:i], f"new{i}", *base[i + 1 :]])) for i in range(100)] + [(500, "one two"), (501, ""), (502, None)]
-    got = {x.doc_id: x.component_id for x in simhash.near_duplicates(frame(spark, docs), words=5, distance=5, prints=7, similarity=0.8).collect()}
-    assert {got[i] for i in range(100)} == {0} and (got[500], got[501], got[502]) == (500, 501, 501)
-    assert simhash.near_duplicates(frame(spark, []), words=5, distance=5, prints=2, similarity=0.8).count() == 0
+def brute_shingles(text, k=5):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def brute_similar(docs, similarity=0.8):
+    """{doc_id: component} by the similarity of all pairs of sets of shingles."""
+    sets = [(i, brute_shingles(t)) for i, t in docs]
+    parent = {i: i for i, _ in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for n, (i, a) in enumerate(sets):
+        for j, b in sets[:n]:
+            both = len(a & b)
+            if a == b or both >= similarity * (len(a) + len(b) - both):
+                x, y = root(i), root(j)
+                parent[max(x, y)] = min(x, y)
+    return {i: root(i) for i, _ in sets}
+
+
+def varied(r, changes, n, length=400):
+    """(text, text with n changes of single words)"""
+    words = [f"w{r.randrange(10**6)}" for _ in range(length)]
+    other = list(words)
+    for k in range(changes):
+        other[k * (length // changes) + 3] = f"x{n}-{k}"
+    return " ".join(words), " ".join(other)
+
+
+def test_recall_and_precision_by_similarity(spark):
+    r, docs, bands = random.Random(8), [], {}
+    for n in range(400):
+        docs += [(2 * n + x, t) for x, t in enumerate(varied(r, [2, 5, 7, 8, 10, 14, 20, 30][n % 8], n))]
+        a, b = brute_shingles(docs[-2][1]), brute_shingles(docs[-1][1])
+        s = len(a & b) / len(a | b)
+        bands.setdefault("under" if s < 0.8 else "0.80" if s < 0.85 else "0.85" if s < 0.9 else "0.90", []).append(2 * n)
+    got = {x.doc_id: x.component_id for x in simhash.similar_documents(frame(spark, docs)).collect()}
+    found = {band: np.mean([got[i] == got[i + 1] for i in pairs]) for band, pairs in bands.items()}
+    assert len(found) == 4 and found.pop("under") == 0 and min(found.values()) >= 0.9, found
+
+
+def test_similar_groups(spark, monkeypatch):
+    """A large group, a passage that unlike documents share, repeated rows, a doc_id on two texts, and texts that are one set."""
+    monkeypatch.setattr(simhash, "FEW", 3)
+    r = random.Random(3)
+    base, passage = [f"w{i}" for i in range(300)], [f"p{i}" for i in range(60)]
+    docs = [(i, " ".join([*base[:i], f"new{i}", *base[i + 1 :]])) for i in range(100)]
+    docs += [(200 + i, " ".join([*passage, *(f"q{r.randrange(10**6)}" for _ in range(60 if i < 40 else 4))])) for i in range(50)]
+    docs += [(500, "one two"), (501, ""), (502, None), (503, "One  TWO"), (0, docs[150 - 3][1]), (7, docs[7][1]), (7, docs[7][1])]
+    got = simhash.similar_documents(frame(spark, docs)).collect()
+    want = brute_similar([(n, t) for n, (_, t) in enumerate(docs)])
+    groups = {}
+    for n, (i, _) in enumerate(docs):
+        groups.setdefault(want[n], []).append(i)
+    assert sorted((x.doc_id, x.component_id) for x in got) == sorted((i, min(g)) for g in groups.values() for i in g)
+
+
+def test_similar_nasty_and_empty(spark):
+    got = simhash.similar_documents(frame(spark, NASTY)).collect()
+    assert {x.doc_id: x.component_id for x in got} == brute_similar(NASTY) and len(got) == len(NASTY)
+    assert simhash.similar_documents(frame(spark, [])).count() == 0
