@@ -1,11 +1,11 @@
 """Exact deduplication by a log-structured merge index, with DataFrame operations only.
 
-1. Flush. Each task's rows are a memtable; it is written to the shared folder as a run sorted by digest, with a Bloom
-   filter and value ranges for the digest (Parquet's own), so that a later lookup of single digests skips runs.
+1. Flush. The rows of a task are a memtable; each becomes a run of entries, one for a digest, with its rows' identifiers.
+   Entries are dealt by digest and run, so a digest that a third of all rows share is an entry a run and never in one
+   task. They are written to the shared folder sorted by digest, with Parquet's value ranges and Bloom filters, by which a
+   later lookup of single digests skips row groups.
 2. Compaction. All runs are merged into one level: for each digest the identifier that stays and the number of rows.
-   Tasks combine their own rows first, so a digest that a third of all rows share reaches the reducers as one row a task.
-3. Lookup. Rows meet the compacted level by digest. This join moves identifiers and digests only; adaptive execution
-   splits hot digests.
+3. Lookup. Entries meet the compacted level by digest; a hot digest has as many entries as there are runs.
 4. Byte verification. The texts of the hits (digests with several rows) are compared: a digest is sound if the least
    and the greatest of its texts are equal. Texts travel once, dealt by document, then combined per task, so no task
    gathers a group. Digests whose texts differ are regrouped by digest and text.
@@ -33,15 +33,17 @@ WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 
 def flush(rows: DataFrame, digest_bytes: int = 16) -> DataFrame:
-    """(doc_id, text) -> the sorted runs (doc_id, sha, digest), read back from the shared folder."""
+    """(doc_id, text) -> the runs (sha, digest, run, ids), sorted, read back from the shared folder."""
     sha = F.unhex(F.sha2(F.col("text").cast("binary"), 256))
-    runs = rows.select("doc_id", sha.alias("sha")).withColumn("digest", F.substring("sha", 1, digest_bytes))
-    return materialize(runs.sortWithinPartitions("digest"), "dedup-run", **{"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "100000"})
+    entries = rows.select(sha.alias("sha"), F.spark_partition_id().alias("run"), "doc_id").groupBy("sha", "run").agg(F.collect_list("doc_id").alias("ids"))
+    runs = entries.withColumn("digest", F.substring("sha", 1, digest_bytes)).sortWithinPartitions("digest")
+    return materialize(runs, "dedup-run", **{"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "100000"})
 
 
 def compact(runs: DataFrame, keep: str = "min") -> DataFrame:
     """One row for each digest: keep_id and group_size. Compacted levels can be merged again in the same way."""
-    return runs.groupBy("digest").agg((F.max if keep == "max" else F.min)("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    own, best = (F.array_max, F.max) if keep == "max" else (F.array_min, F.min)
+    return runs.groupBy("digest").agg(best(own("ids")).alias("keep_id"), F.sum(F.size("ids")).alias("group_size"))
 
 
 def unsound(rows: DataFrame, hits: DataFrame) -> DataFrame:
@@ -56,14 +58,12 @@ def exact_duplicates(docs: DataFrame, keep: str = "min", digest_bytes: int = 16,
     prepare(docs.sparkSession)
     rows = texts(docs, id_col, text_col)
     runs = flush(rows, digest_bytes)
-    # The compacted level is a table of its own: the join then stands between two exchanges, whose hot partitions adaptive
-    # execution can split, which it can't do for a join that shares its stage with the aggregate.
-    level = materialize(compact(runs, keep), "dedup-level")
-    found = runs.join(level, "digest")
+    level = materialize(compact(runs, keep), "dedup-level")  # a table of its own: the join stands between exchanges
+    found = runs.join(level, "digest").select("digest", "sha", "keep_id", "group_size", F.explode("ids").alias("doc_id"))
     hits = found.where("group_size > 1").select("doc_id", "digest").distinct()
     collided = materialize(unsound(rows, hits), "dedup-collided")
     if not collided.isEmpty():
-        again = runs.join(collided, "digest", "left_semi").select("doc_id").distinct()
+        again = runs.join(collided, "digest", "left_semi").select(F.explode("ids").alias("doc_id")).distinct()
         split = rows.join(again, "doc_id").withColumn("sha", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
         split = split.join(collided.withColumn("split", F.lit(True)), F.substring("sha", 1, digest_bytes) == F.col("digest"))
         groups = split.groupBy("text").agg((F.max if keep == "max" else F.min)("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))

@@ -270,7 +270,7 @@ def sampled_fingerprints(h: np.ndarray, samples: int, size: int = SAMPLE) -> lis
 
 
 def shingle_sets(docs: DataFrame, words: int, samples: int) -> DataFrame:
-    """(doc_id, digest, fp, samples, hashes) of (doc_id, text): a digest of the set of shingles, its fingerprint, those of its
+    """(doc_id, text_sha256, digest, fp, samples, hashes) of (doc_id, text, text_sha256): a digest of the set of shingles, its fingerprint, those of its
     samples, and the upper halves of the hashes themselves in order."""
 
     def run(batches):
@@ -285,11 +285,11 @@ def shingle_sets(docs: DataFrame, words: int, samples: int) -> DataFrame:
             digests, fps, sampled, hashes = zip(*out, strict=True) if out else ((), (), (), ())
             signed = np.array(sampled, "u8").reshape(len(out), samples).view("i8").tolist()
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(digests, pa.binary()), pa.array(np.array(fps, "u8").view("i8")), pa.array(signed, pa.list_(pa.int64())), pa.array(hashes, pa.binary())],
-                names=["doc_id", "digest", "fp", "samples", "hashes"],
+                [b.column(0), b.column(2), pa.array(digests, pa.binary()), pa.array(np.array(fps, "u8").view("i8")), pa.array(signed, pa.list_(pa.int64())), pa.array(hashes, pa.binary())],
+                names=["doc_id", "text_sha256", "digest", "fp", "samples", "hashes"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, digest binary, fp long, samples array<long>, hashes binary")
+    return docs.mapInArrow(run, "doc_id long, text_sha256 string, digest binary, fp long, samples array<long>, hashes binary")
 
 
 def _shared(a: str, b: str):
@@ -455,24 +455,24 @@ def _verified(nodes: DataFrame, sets: DataFrame, samples: int, distance: int, si
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 2, samples: int = SAMPLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) of each row of docs. Linked are documents whose sets of shingles have at least this Jaccard
+    """(doc_id, text_sha256, component_id) of each row of docs. Linked are documents whose sets of shingles have at least this Jaccard
     similarity, if the fingerprints of their sets differ in at most `distance` bits or two of the fingerprints of `samples`
     samples of these sets are equal. Texts with the same set are one node."""
     prepare(docs.sparkSession)
     conf = docs.sparkSession.conf
     batch = conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    every = shingle_sets(texts(docs, id_col, text_col), words, samples)
+    every = shingle_sets(texts(docs, id_col, text_col).withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256)), words, samples)
     every = materialize(every.withColumn("row", F.monotonically_increasing_id()), "simhash-sets")
     least = materialize(every.groupBy("digest").agg(F.min("row").alias("id")), "simhash-least")
-    rows = materialize(every.select("row", "doc_id", "digest", "fp", "samples").join(least, "digest").drop("digest"), "simhash-rows")
+    rows = materialize(every.select("row", "doc_id", "text_sha256", "digest", "fp", "samples").join(least, "digest").drop("digest"), "simhash-rows")
     nodes = rows.where("row = id").select("id", "fp", "samples")
     try:
         found = _verified(nodes, every.select(F.col("row").alias("id"), "hashes"), samples, distance, similarity)
     finally:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
-    labelled = rows.select("doc_id", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("doc_id", F.coalesce("component", "id").alias("component"))
+    labelled = rows.select("doc_id", "text_sha256", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("doc_id", "text_sha256", F.coalesce("component", "id").alias("component"))
     named = materialize(labelled.groupBy("component").agg(F.min("doc_id").alias("component_id")), "simhash-named")
-    return labelled.join(named, "component").select("doc_id", "component_id")
+    return labelled.join(named, "component").select("doc_id", "text_sha256", "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, prints: int = 1, n_segments: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

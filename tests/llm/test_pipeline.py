@@ -4,7 +4,7 @@ from collections import defaultdict
 import corpus_pipeline
 from helpers import NASTY
 from test_personal_data import brute
-from test_simhash import brute_components, brute_wide
+from test_simhash import brute_similar
 from test_tokens import check_pieces
 
 from quarrymill.llm import personal_data as pd
@@ -23,7 +23,7 @@ def rows():
 
 
 def frame(spark, docs):
-    return spark.createDataFrame([(i, t, lang, "src", len(t or ""), "kept") for i, t, lang in docs], "doc_id long, text string, lang string, source string, n_chars long, block string").repartition(3)
+    return spark.createDataFrame([(i, t, lang, "src", len(t or ""), "kept", 3) for i, t, lang in docs], "doc_id long, text string, lang string, source string, n_chars long, block string, digest int").repartition(3)
 
 
 def brute_stages(docs, known):
@@ -33,7 +33,7 @@ def brute_stages(docs, known):
         groups[t].append(i)
     kept = sorted({max(g): t for t, g in groups.items()}.items())
     yield kept
-    component = brute_components([(i, brute_wide(t, 5, 8)) for i, t in kept], 5, 2)
+    component = brute_similar(kept)
     kept = [(i, t) for i, t in kept if component[i] == i]
     yield kept
 
@@ -69,6 +69,19 @@ def test_stages_like_brute_force(spark):
     check_pieces(pieces, [(r.doc_id, r.text) for r in made[-1]])
 
 
+def test_exact_copies_of_repeated_ids(spark):
+    docs = [(5, "A text", "en"), (9, "A text", "en"), (5, "B other", "en"), (7, "C", "en"), (7, "C", "de"), (7, "C", "de"), (8, None, "en"), (9, "", "fr")]
+    got = corpus_pipeline.exact_copies(spark, frame(spark, docs), "").collect()
+    assert sorted((r.doc_id, r.text, r.lang) for r in got) == [(5, "B other", "en"), (7, "C", "de"), (9, "", "fr"), (9, "A text", "en")]
+
+
+def test_near_copies_of_repeated_ids(spark):
+    text = " ".join(f"w{i}" for i in range(200))
+    docs = [(5, "quite another text", "en"), (5, text + " end", "en"), (3, text, "en"), (9, text + " x", "en"), (9, "own words", "en")]
+    got = corpus_pipeline.near_copies(spark, frame(spark, docs), "").collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(3, text), (5, "quite another text"), (9, "own words")]
+
+
 def test_nasty_and_empty(spark):
     made, pieces = walk(spark, frame(spark, [(i, t, None if i % 3 else "en") for i, t in NASTY]))
     check_pieces(pieces, [(r.doc_id, r.text) for r in made[-1]])
