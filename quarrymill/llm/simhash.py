@@ -17,8 +17,8 @@ in about ten bits. With several (`prints`), of the set of shingles, documents ar
 `similar_documents` links by the similarity of the sets of shingles itself. Near fingerprints only propose pairs, and so
 do equal fingerprints of samples: the SAMPLE shingles whose hashes are smallest after mixing, in SAMPLES ways. Two sets
 of similarity s have the same sample with probability s ** SAMPLE. Each proposed pair is tested on the whole sets; tested
-links are contracted before more pairs are proposed, so a large group costs about its size. Buckets of more than FEW
-rows are split by further samples; their rows are otherwise proposed to the centers of their buckets only.
+links are contracted before more pairs are proposed, so a large group costs about its size. Nodes that have two samples
+in common are all compared, unless these are shared by more than FEW nodes, which are compared with centers only.
 
 Null and empty texts have the fingerprint zero and are linked like any other. A text with fewer words than a shingle is
 one shingle. Rows that repeat a doc_id get a row each. An empty table gives no rows.
@@ -343,38 +343,48 @@ class _Links:
         release(pairs.sparkSession)
 
 
-def _proposed_by_samples(state: _Links, nodes: DataFrame, samples: int) -> None:
-    """Nodes with a sample in common form a bucket. Each node proposes itself to one of its buckets' centers, the one with
-    which it shares most samples; what the tested links connect to a bucket's center leaves that bucket. Buckets of few
-    rows then propose all pairs of TOGETHER common samples; larger ones are split by a further sample, and so on."""
-    rows = nodes.select("id", F.posexplode("samples").alias("last", "sample")).select("id", "last", F.xxhash64("last", "sample").alias("key"))
-    depth = 1
-    while True:
-        # Tables of their own on both sides of a join, so that a hot key's partition can be split.
-        rows = materialize(rows, "simhash-buckets")
-        centers = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("center")).where("n > 1"), "simhash-centers")
-        if centers.isEmpty():
-            return
-        company = state.parted(rows.join(centers, "key")).join(nodes.select("id", "samples"), "id")
-        heads = centers.select(F.col("center").alias("id")).distinct().join(nodes.select("id", F.col("samples").alias("others")), "id")
-        heads = materialize(heads.withColumnRenamed("id", "center"), "simhash-heads")
-        company = materialize(company.join(_of_center(state, heads), "center"), "simhash-company")
-        shared = _shared("samples", "others")
-        star = company.where((F.col("part") != F.col("center_part")) & (shared >= TOGETHER))
-        pairs = star.where(F.col("n") > (FEW if depth > 1 else 1)).groupBy("id").agg(F.max_by("center", F.struct(shared.alias("s"), -F.col("center"))).alias("u")).select("u", F.col("id").alias("v"))
-        if depth > 1:
-            one, two = (company.where(F.col("n") <= FEW).select(F.col("key").alias("k"), *(F.col(c).alias(c + x) for c in ("id", "samples", "part"))) for x in "12")
-            close = one.join(two.withColumnRenamed("k", "k2"), F.col("k") == F.col("k2")).where("id1 < id2 and part1 != part2").where(_shared("samples1", "samples2") >= TOGETHER)
-            pairs = pairs.unionByName(close.select(F.col("id1").alias("u"), F.col("id2").alias("v")))
-        state.test(pairs)
-        left = state.parted(company.drop("part", "center_part", "others")).join(_of_center(state, heads.drop("others")), "center").where("part != center_part")
-        if depth == 1:  # the same buckets again, without what their centers have
-            rows = left.select("id", "last", "key")
-        else:
-            later = F.filter(F.transform("samples", lambda x, i: F.struct(i.alias("at"), x.alias("next"))), lambda x: x["at"] > F.col("last"))
-            rows = left.where(F.col("n") > FEW).select("id", "key", F.explode(later).alias("e"))
-            rows = rows.select("id", F.col("e.at").alias("last"), F.xxhash64("key", "e.at", "e.next").alias("key"))
-        depth += 1
+def _buckets(state: _Links, rows: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows (id, key, ...) of buckets with several rows, with their number n, samples and part, and their center's id,
+    samples (others) and part; the centers). The center of a bucket is its smallest id."""
+    # Tables of their own on both sides of a join, so that a hot key's partition can be split.
+    rows = materialize(rows, "simhash-buckets")
+    centers = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("center")).where("n > 1"), "simhash-centers")
+    company = state.parted(rows.join(centers, "key")).join(nodes.select("id", "samples"), "id")
+    heads = centers.select(F.col("center").alias("id")).distinct().join(nodes.select("id", F.col("samples").alias("others")), "id")
+    heads = materialize(heads.withColumnRenamed("id", "center"), "simhash-heads")
+    return materialize(company.join(_of_center(state, heads), "center"), "simhash-company"), heads.select("center")
+
+
+def _star_pairs(company: DataFrame) -> DataFrame:
+    """(u, v): for each node the center of one of its buckets, the one that it shares most samples with."""
+    shared = _shared("samples", "others")
+    rows = company.where((F.col("part") != F.col("center_part")) & (shared >= TOGETHER))
+    return rows.groupBy("id").agg(F.max_by("center", F.struct(shared.alias("s"), -F.col("center"))).alias("u")).select("u", F.col("id").alias("v"))
+
+
+def _apart(state: _Links, company: DataFrame, heads: DataFrame) -> DataFrame:
+    """The rows of buckets whose node isn't linked to the center by now; of small buckets all rows."""
+    rows = state.parted(company.drop("part", "center_part", "others")).join(_of_center(state, heads), "center")
+    return rows.where((F.col("part") != F.col("center_part")) | (F.col("n") <= FEW))
+
+
+def _propose_by_samples(state: _Links, nodes: DataFrame) -> DataFrame:
+    """Nodes with a sample in common form a bucket. Each node proposes itself to the center that it shares most samples with;
+    the tested links leave few buckets with several parts. Their rows meet again by pairs of samples: small buckets propose
+    all pairs of different parts, large ones their centers, twice. The second time's pairs are returned untested."""
+    rows = nodes.select("id", F.posexplode("samples").alias("at", "sample")).select("id", "at", F.xxhash64("at", "sample").alias("key"))
+    company, heads = _buckets(state, rows, nodes)
+    state.test(_star_pairs(company))
+    left = _apart(state, company, heads)
+    own = left.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("at", "key"))).alias("own"))  # as many as samples at most
+    two = own.select("id", F.explode(F.flatten(F.transform("own", lambda x: F.transform(F.filter("own", lambda y: y["at"] > x["at"]), lambda y: F.xxhash64(x["key"], y["key"]))))).alias("key"))
+    company, heads = _buckets(state, two, nodes)
+    few = company.where(F.col("n") <= FEW)
+    one, other = (few.select(F.col("key").alias("key" + x), F.col("id").alias("id" + x), F.col("part").alias("part" + x)) for x in "12")
+    close = one.join(other, F.col("key1") == F.col("key2")).where("id1 < id2 and part1 != part2")
+    state.test(_star_pairs(company.where(F.col("n") > FEW)).unionByName(close.select(F.col("id1").alias("u"), F.col("id2").alias("v"))))
+    again, _ = _buckets(state, _apart(state, company.where(F.col("n") > FEW), heads).select("id", "key"), nodes)
+    return _star_pairs(again)
 
 
 def _of_center(state: _Links, heads: DataFrame) -> DataFrame:
@@ -442,15 +452,15 @@ def proposed(nodes: DataFrame, distance: int) -> DataFrame:
     return indexed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(meet, "u long, v long")
 
 
-def _verified(nodes: DataFrame, sets: DataFrame, samples: int, distance: int, similarity: float) -> DataFrame:
+def _verified(nodes: DataFrame, sets: DataFrame, distance: int, similarity: float) -> DataFrame:
     """(node, component) by the pairs of nodes that samples or near fingerprints propose and the sets confirm."""
     state = _Links(nodes, sets, similarity)
-    _proposed_by_samples(state, nodes, samples)
+    again = _propose_by_samples(state, nodes)
     nodes.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")  # four numbers a row
     rest = materialize(state.parted(nodes.select("id", "fp")), "simhash-parts")
     each = materialize(rest.groupBy("fp").agg(F.min(F.struct("id", "part")).alias("m")).select("fp", "m.id", "m.part"), "simhash-prints")
     same = rest.join(each.select("fp", F.col("id").alias("u"), F.col("part").alias("p")), "fp").where("id != u and part != p")
-    state.test(proposed(each, distance).unionByName(same.select("u", F.col("id").alias("v"))))
+    state.test(proposed(each, distance).unionByName(same.select("u", F.col("id").alias("v"))).unionByName(again))
     return state.found
 
 
@@ -467,7 +477,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     rows = materialize(every.select("row", "doc_id", "text_sha256", "digest", "fp", "samples").join(least, "digest").drop("digest"), "simhash-rows")
     nodes = rows.where("row = id").select("id", "fp", "samples")
     try:
-        found = _verified(nodes, every.select(F.col("row").alias("id"), "hashes"), samples, distance, similarity)
+        found = _verified(nodes, every.select(F.col("row").alias("id"), "hashes"), distance, similarity)
     finally:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     labelled = rows.select("doc_id", "text_sha256", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("doc_id", "text_sha256", F.coalesce("component", "id").alias("component"))
