@@ -78,6 +78,19 @@ def boolean_code(value: Column, seen: Sequence[bool], name: str) -> Column:
     return out
 
 
+def lookup(value: Column, table: dict, default=None) -> Column:
+    """What table holds for the value, else default. Few entries are compared one by one; many are a map of the values as
+    strings, since deep expressions overflow the analyser."""
+    if len(table) <= 100:
+        out = F.lit(default)
+        for k, v in table.items():
+            out = F.when(value.eqNullSafe(F.lit(k)), F.lit(v)).otherwise(out)
+        return out
+    text = lambda x: F.coalesce(x.cast("string"), F.lit("\0missing"))
+    found = F.map_from_arrays(F.array(*(text(F.lit(k)) for k in table)), F.array(*map(F.lit, table.values())))
+    return F.coalesce(F.try_element_at(found, text(value)), F.lit(default))
+
+
 def flatten_params(params: dict) -> dict[str, str]:
     """Parameters as strings: None as "None"."""
     return {k: str(v) for k, v in params.items()}

@@ -105,14 +105,14 @@ def cv_summary(scores: DataFrame, by: str = "trial_number") -> DataFrame:
 
 
 def leaderboard(trials: DataFrame, n: int | None = None) -> DataFrame:
-    """Trials from the best score down; of equal ones the earlier first."""
-    ordered = trials.orderBy(F.desc("cv_score"), "trial_number")
+    """Trials from the best score down; of equal ones the earlier first. Trials without a score (NaN) come last."""
+    ordered = trials.orderBy(F.desc_nulls_last(F.nanvl("cv_score", F.lit(None))), "trial_number")
     return ordered.limit(n) if n else ordered
 
 
 def best_trial(trials: DataFrame) -> DataFrame:
-    """The one row with the highest score, the earliest of several."""
-    return trials.agg(F.max_by(F.struct(*trials.columns), F.struct("cv_score", -F.col("trial_number"))).alias("r")).select("r.*")
+    """The one row with the highest score, the earliest of several; trials without a score (NaN) don't count."""
+    return trials.where(~F.isnan("cv_score")).agg(F.max_by(F.struct(*trials.columns), F.struct("cv_score", -F.col("trial_number"))).alias("r")).select("r.*")
 
 
 def top_importances(importances: DataFrame, n: int = 25) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import col
+from ..functions.columns import col, lookup
 
 #: The search space of each family. ("int", low, high), ("float", low, high), ("log", low, high) or ("choice", ...).
 SPACES = {
@@ -73,10 +73,7 @@ class Labels:
         return cls(found)
 
     def encode(self, value: Column) -> Column:
-        out = F.lit(None).cast("double")
-        for i, v in enumerate(self.values):
-            out = F.when(value == F.lit(v), float(i)).otherwise(out)
-        return out
+        return lookup(value, {v: float(i) for i, v in enumerate(self.values)}).cast("double")
 
     def decode(self, value: Column) -> Column:
         return F.get(F.array(*map(F.lit, self.values)), value.cast("int"))

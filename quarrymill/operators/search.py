@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,14 @@ class HPOResult:
     test_metrics: dict[str, float] = field(default_factory=dict)
 
 
+def best_of(trials: list[TrialResult]) -> TrialResult:
+    """The trial with the highest score, the earliest of several; scores that are no finite numbers don't count."""
+    scored = [t for t in trials if math.isfinite(t.cv_score)]
+    if not scored:
+        raise RuntimeError("No trial has a score.")
+    return max(scored, key=lambda t: (t.cv_score, -t.trial_number))
+
+
 class RandomSampler:
     def __init__(self, seed: int = 42):
         self.random = np.random.default_rng(seed)
@@ -122,12 +132,13 @@ class HPOEngine:
         sampler: RandomSampler | None = None,
         max_trees: int | None = None,
         refit_trials: bool = False,
+        fold_threads: int = 4,
     ):
         self.task_type, self.metric = task_type, metric or ("roc_auc" if task_type == "classification" else "r2")
         self.n_trials, self.cv_folds, self.test_size, self.random_state = n_trials, cv_folds, test_size, random_state
         self.model_families, self.tracker = model_families, tracker
         self.sampler = sampler or TPESampler(random_state)
-        self.max_trees, self.refit_trials = max_trees, refit_trials
+        self.max_trees, self.refit_trials, self.fold_threads = max_trees, refit_trials, fold_threads
         if self.metric not in M.SCORERS:
             raise ValueError(f"unknown metric {self.metric!r}; there are {', '.join(M.SCORERS)}")
         self.trials: list[TrialResult] = []
@@ -168,26 +179,34 @@ class HPOEngine:
                 family, drawn = self._suggest(families, history)
                 params = models.resolved(family, drawn)
                 estimator = models.build(family, params, self.task_type, classes, self.random_state, self.max_trees)
-                scores = []
-                for fold in range(k):
-                    model = estimator.fit(train.where(F.col("fold") != fold))
-                    scores.append(self._score(model, train.where(F.col("fold") == fold), classes))
+                scores = self._fold_scores(estimator, train, k, classes)
                 mean, deviation = float(np.mean(scores)), float(np.std(scores))
                 trial = TrialResult(number, family, params, mean, {"cv_mean": mean, "cv_std": deviation})
                 self.trials.append(trial)
-                history.append((family, drawn, mean))
+                if math.isfinite(mean):  # a trial without a score teaches the sampler nothing
+                    history.append((family, drawn, mean))
                 if self.tracker:
                     fitted = estimator.fit(train) if self.refit_trials else None
-                    self.tracker.log_trial(trial_number=number, model_family=family, params=params, metrics=trial.metrics, model=fitted, feature_names=names)
-            best = max(self.trials, key=lambda t: (t.cv_score, -t.trial_number))
+                    self.tracker.log_trial(trial_number=number, model_family=family, params={"model_family": family, **params}, metrics=trial.metrics, model=fitted, feature_names=names, tags={"metric": self.metric})
+            best = best_of(self.trials)
             model = models.build(best.model_family, best.params, self.task_type, classes, self.random_state, self.max_trees).fit(train)
             test_metrics = self.evaluate(model, test, classes)
             if self.tracker:
-                self.tracker.log_best_model(model=model, model_family=best.model_family, params=best.params, metrics={"best_cv_score": best.cv_score, **test_metrics})
+                self.tracker.log_best_model(model=model, model_family=best.model_family, params={"model_family": best.model_family, **best.params}, metrics={"best_cv_score": best.cv_score, **test_metrics})
         finally:
             train.unpersist()
             test.unpersist()
-        return HPOResult(model, best.model_family, best.params, best.cv_score, self.metric, self.task_type, self.trials, names, labels, test_metrics)
+        return HPOResult(model, best.model_family, {"model_family": best.model_family, **best.params}, best.cv_score, self.metric, self.task_type, self.trials, names, labels, test_metrics)
+
+    def _fold_scores(self, estimator, train: DataFrame, folds: int, classes: int) -> list[float]:
+        """The folds' scores; `fold_threads` folds are fitted at the same time, as their jobs don't depend on each other."""
+
+        def score(fold: int) -> float:
+            model = estimator.fit(train.where(F.col("fold") != fold))
+            return self._score(model, train.where(F.col("fold") == fold), classes)
+
+        with ThreadPoolExecutor(max(1, min(folds, self.fold_threads))) as pool:
+            return list(pool.map(inheritable_thread_target(train.sparkSession)(score), range(folds)))
 
     def _score(self, model, part: DataFrame, classes: int) -> float:
         out = models.predictions(model, part, classes).withColumn("y", F.col("label"))

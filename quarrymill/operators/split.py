@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import col
+from ..functions.columns import col, lookup
 
 RANGES = 256
 
@@ -66,9 +66,7 @@ def holdout(df: DataFrame, key: str, target: str | None = None, test_size: float
         if len(counts) > 1 and min(counts.values()) < 2:
             raise ValueError("a class with a single row can't be split")
         quota = class_quotas(counts, test_size)
-        limit = F.lit(0)
-        for k, n in quota.items():
-            limit = F.when(F.col("__stratum").eqNullSafe(F.lit(k)), n).otherwise(limit)
+        limit = lookup(F.col("__stratum"), quota, 0)
     else:
         limit = F.lit(math.ceil(test_size * df.count()))
     return ranked(df, key, seed, target).withColumn("is_test", F.col("__rank") < limit).drop("__rank", "__stratum")

@@ -11,38 +11,55 @@ GATHERED = 20_000
 
 
 def medians(df: DataFrame, values: dict[str, Column], gathered: int = GATHERED) -> dict[str, float | None]:
-    """Exact medians (the midpoint of the middle two) without a sort: approximate percentiles bracket the middle ranks, and
-    brackets are narrowed, all columns in one pass, until at most `gathered` values lie in each; these are then ordered.
-    None for a column without values."""
+    """Exact medians (the midpoint of the middle two) without a sort: approximate percentiles cut the values around each
+    middle rank into those below, between and above two values that occur, and copies of these two; counts say where the
+    rank lies. A rank among the copies is settled; else the bracket narrows, without the two values, so ties end it too.
+    All columns go in one pass, until at most `gathered` values lie in a bracket, which are then ordered. None for a
+    column without values."""
     if not values:
         return {}
     name = {k: f"c{i}" for i, k in enumerate(values)}
     df = df.select(*(v.cast("double").alias(name[k]) for k, v in values.items()))
     n = df.agg(*(F.count(c).alias(c) for c in name.values())).first()
-    low = {k: None for k in values}
-    high = {k: None for k in values}
-    inside = {k: n[name[k]] for k in values}
-    below = {k: 0 for k in values}
-    within = lambda k: F.when((F.lit(True) if low[k] is None else (F.col(name[k]) >= low[k])) & (F.lit(True) if high[k] is None else (F.col(name[k]) <= high[k])), F.col(name[k]))
-    middle = {k: ((inside[k] + 1) // 2, inside[k] // 2 + 1) for k in values}
-    while wide := [k for k in values if inside[k] > gathered and (low[k] is None or low[k] < high[k])]:
-        aim = lambda k, rank, by: min(1.0, max(0.0, (rank - below[k]) / inside[k] + by))
-        got = df.agg(*(F.percentile_approx(within(k), [aim(k, middle[k][0], -0.005), aim(k, middle[k][1], 0.005)], 1000).alias(name[k]) for k in wide)).first()
-        for k in wide:
-            low[k], high[k] = got[name[k]]
-        got = df.agg(*(F.count(F.when(F.col(name[k]) < low[k], 1)).alias("b" + name[k]) for k in wide), *(F.count(within(k)).alias("i" + name[k]) for k in wide)).first()
-        for k in wide:
-            below[k], inside[k] = got["b" + name[k]], got["i" + name[k]]
-    out: dict[str, float | None] = {}
-    few = [k for k in values if 0 < inside[k] <= gathered]
+    sizes = {k: n[name[k]] for k in values}
+    middle = {k: ((m + 1) // 2, m // 2 + 1) for k, m in sizes.items() if m}
+    found: dict[tuple[str, int], float] = {}
+    brackets = {(k, r): (None, None, 0, sizes[k]) for k, ranks in middle.items() for r in ranks}  # low, high, values up to low, values between
+
+    def within(spot: tuple[str, int]) -> Column:
+        c, (low, high, _, _) = F.col(name[spot[0]]), brackets[spot]
+        inside = c.isNotNull() if low is None else c > low
+        return F.when(inside if high is None else inside & (c < high), c)
+
+    while wide := [s for s in brackets if s not in found and brackets[s][3] > gathered]:
+        aim = lambda s, by: min(1.0, max(0.0, (s[1] - brackets[s][2]) / brackets[s][3] + by))
+        cuts = df.agg(*(F.percentile_approx(within(s), [aim(s, -0.005), aim(s, 0.005)], 1000).alias(f"p{i}") for i, s in enumerate(wide))).first()
+        count = lambda s, test: F.count(F.when(test(within(s)), 1))
+        got = df.agg(*(
+            count(s, test).alias(f"{part}{i}") for i, s in enumerate(wide) for a, b in [cuts[f"p{i}"]]
+            for part, test in (("under", lambda x, a=a: x < a), ("first", lambda x, a=a: x == a), ("between", lambda x, a=a, b=b: (x > a) & (x < b)), ("second", lambda x, a=a, b=b: (x == b) & (x > a)))
+        )).first()
+        for i, s in enumerate(wide):
+            (a, b), (low, high, below, inside) = cuts[f"p{i}"], brackets[s]
+            under, first, between, second = (got[f"{part}{i}"] for part in ("under", "first", "between", "second"))
+            place = s[1] - below
+            if place <= under:
+                brackets[s] = low, a, below, under
+            elif place <= under + first:
+                found[s] = a
+            elif place <= under + first + between:
+                brackets[s] = a, b, below + under + first, between
+            elif place <= under + first + between + second:
+                found[s] = b
+            else:
+                before = under + first + between + second
+                brackets[s] = b, high, below + before, inside - before
+    few = [s for s in brackets if s not in found]
     if few:
-        pick = lambda k, rank: F.element_at(F.sort_array(F.collect_list(within(k))), rank - below[k])
-        got = df.agg(*(((pick(k, middle[k][0]) + pick(k, middle[k][1])) / 2).alias(name[k]) for k in few)).first()
-        out = {k: got[name[k]] for k in few}
-    for k in values:
-        if k not in out:
-            out[k] = low[k] if inside[k] else None  # more than `gathered` copies of one value
-    return {k: out[k] for k in values}
+        pick = lambda s: F.element_at(F.sort_array(F.collect_list(within(s))), s[1] - brackets[s][2])
+        got = df.agg(*(pick(s).alias(f"v{i}") for i, s in enumerate(few))).first()
+        found |= {s: got[f"v{i}"] for i, s in enumerate(few)}
+    return {k: (found[k, middle[k][0]] + found[k, middle[k][1]]) / 2 if k in middle else None for k in values}
 
 
 def moments(df: DataFrame, values: dict[str, Column]) -> dict[str, tuple[float, float]]:

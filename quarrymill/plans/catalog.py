@@ -22,7 +22,7 @@ from ..operators.preprocess import AutoPreprocessor, date_shares, drop_missing_t
 from ..operators.registry import latest_version, resolve_uri, version_by_run
 from ..operators.search import HPOEngine, RandomSampler, trials_frame
 from ..operators.split import assign_folds, detect_task_type, fold_count, holdout
-from ..sources.readers import from_rows, read_csv, sample_data
+from ..sources.readers import from_rows, read_csv
 from ..streaming.scoring import transform_stream, write_available
 
 QUERIES: dict = {}
@@ -261,7 +261,8 @@ SELECT column_name, n_distinct, CASE WHEN n_distinct <= 50 THEN 'onehot' ELSE 'o
 """)
 def cardinality_split(spark, sf):
     made = AutoPreprocessor().fit(table(spark, sf, "part").select("p_name", "p_brand", "p_type"))
-    rows = [(r[0], len(r[2]), kind) for kind in ("onehot", "ordinal") for r in made.state[kind]]
+    size = lambda c, known: made.dictionaries[c].count() if known is None else len(known)
+    rows = [(c, size(c, known), kind) for kind in ("onehot", "ordinal") for c, _, known in made.state[kind]]
     return spark.createDataFrame(rows, "column_name string, n_distinct long, encoding string")
 
 
@@ -577,23 +578,30 @@ def gbt_train_predict(spark, sf):
 @query()
 def hpo_search(spark, sf):
     rows = _order_features(spark, sf)
-    engine = HPOEngine(metric="accuracy", n_trials=2, cv_folds=2, model_families=["random_forest"], max_trees=5, sampler=RandomSampler(1))
+    engine = HPOEngine(metric="accuracy", n_trials=3, cv_folds=2, max_trees=5, sampler=RandomSampler(1))
     result = engine.optimize(rows, "o_orderstatus", "o_orderkey")
     return trials_frame(spark, result.trials).select("trial_number", "model_family", "cv_score")
 
 
+def _run_on_orders(spark, sf) -> tuple[dict, DataFrame, str]:
+    orders, store = table(spark, sf, "orders"), scratch(spark, "automl")
+    search = {"max_trees": 5, "cv_folds": 2, "model_families": ["random_forest"]}
+    return run_automl(orders, "o_orderstatus", "accuracy", 1, store=store, key="o_orderkey", drop_key=True, search=search), orders, store
+
+
 @query()
 def automl_end_to_end(spark, sf):
-    flowers = sample_data(spark)
-    store = scratch(spark, "automl")
-    run = run_automl(flowers, "target", "accuracy", 1, store=store, search={"max_trees": 5, "cv_folds": 2, "model_families": ["random_forest"]})
-    return run["full_pipeline"].predict(flowers).select("target", "prediction")
+    run, orders, _ = _run_on_orders(spark, sf)
+    return run["full_pipeline"].predict(orders).select("o_orderkey", "o_orderstatus", "prediction")
 
 
-@query()
+@query("SELECT o_orderkey, true AS same FROM orders")
 def registry_roundtrip(spark, sf):
+    """The registered pipeline, loaded again, predicts what the one in memory does."""
     from ..operators.registry import Registry
 
-    flowers, store = sample_data(spark), scratch(spark, "automl")
-    run_automl(flowers, "target", "accuracy", 1, store=store, search={"max_trees": 5, "cv_folds": 2, "model_families": ["random_forest"]})
-    return Registry(spark, store).predict(flowers.drop("target"))
+    run, orders, store = _run_on_orders(spark, sf)
+    orders = orders.drop("o_orderstatus")
+    here, there = run["full_pipeline"].predict(orders), Registry(spark, store).predict(orders)
+    found = here.select("o_orderkey", F.col("prediction").alias("here")).join(there.select("o_orderkey", F.col("prediction").alias("there")), "o_orderkey")
+    return found.select("o_orderkey", F.col("here").eqNullSafe(F.col("there")).alias("same"))

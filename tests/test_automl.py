@@ -25,7 +25,7 @@ def test_result(trained):
     _, _, run = trained
     assert set(run) == {"run_id", "best_score", "best_model_family", "best_params", "model", "full_pipeline", "model_name", "model_version", "model_uri", "endpoint_url", "task_type", "metric", "target_column", "n_rows", "n_columns"}
     assert (run["task_type"], run["metric"], run["n_rows"], run["n_columns"]) == ("classification", "accuracy", 150, 5)
-    assert run["best_score"] > 0.8
+    assert run["best_score"] > 0.8 and run["best_params"]["model_family"] == run["best_model_family"]
 
 
 def test_load_gives_the_same_predictions(spark, trained):

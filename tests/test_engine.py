@@ -5,11 +5,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrymill.functions.columns import col, flatten_params, normalize_missing, parse_datetime
+from quarrymill.functions.columns import col, flatten_params, lookup, normalize_missing, parse_datetime
 from quarrymill.operators import metrics as M
 from quarrymill.operators import models, stats
 from quarrymill.operators.features import AutoFeatureEngineer, array_features, polynomial_terms, rfe_target
 from quarrymill.operators.preprocess import AutoPreprocessor, drop_missing_target, infer_schema, looks_like_datetime, split_features_target
+from quarrymill.operators.search import TrialResult, best_of
 from quarrymill.operators.split import assign_folds, detect_task_type, fold_count, holdout, class_quotas
 from quarrymill.sources.readers import from_rows, read_csv, read_table, sample_data
 
@@ -168,6 +169,19 @@ def test_medians_without_gathering(spark, gathered):
     assert stats.medians(few, {"a": F.col("a")}, gathered) == {"a": pytest.approx(np.median(x[:400, 0]))}
 
 
+@pytest.mark.parametrize("gathered", [1, 3, 50, 10_000])
+@pytest.mark.parametrize("rows", [[0, 1] * 500, [0] * 499 + [1] * 501, [1, 2, 3, 4, 5] * 200, [7] * 1000, [0] * 500 + [0.5] + [1] * 499, [*range(10)] * 40 + [4.5, 4.5], [3]])
+def test_medians_end_on_ties(spark, rows, gathered):
+    df = spark.createDataFrame([(float(x),) for x in rows], "x double").repartition(3)
+    assert stats.medians(df, {"x": F.col("x")}, gathered) == {"x": np.median(rows)}
+
+
+@pytest.mark.parametrize("n", [3, 1000])
+def test_lookup(spark, n):
+    df = spark.createDataFrame([(0,), (n - 1,), (n,), (None,)], "x long")
+    assert [r[0] for r in df.select(lookup(F.col("x"), {i: i * 2 for i in range(n)} | {None: 5}, -1)).collect()] == [0, 2 * n - 2, -1, 5]
+
+
 @pytest.mark.parametrize(("strategy", "filled"), [("median", 2.0), ("mean", 7 / 3), ("most_frequent", 1.0), ("constant", 0.0)])
 def test_numeric_strategies(spark, strategy, filled):
     df = frame(spark, "i x", [(1, 1.0), (2, 2.0), (3, 4.0), (4, None)], "int double")
@@ -355,3 +369,13 @@ def test_missing_values(spark):
 def test_sample(spark):
     df = sample_data(spark)
     assert df.count() == 150 and len(df.columns) == 5 and df.select("target").distinct().count() == 3
+
+
+def test_trials_without_a_score_never_win(spark):
+    trials = [TrialResult(n, "random_forest", {}, s) for n, s in enumerate([math.nan, 0.5, 0.9, 0.9, math.inf])]
+    assert best_of(trials).trial_number == 2
+    with pytest.raises(RuntimeError):
+        best_of(trials[:1])
+    df = spark.createDataFrame([(t.trial_number, t.cv_score) for t in trials[:4]], "trial_number int, cv_score double")
+    assert M.best_trial(df).first().trial_number == 2
+    assert [r.trial_number for r in M.leaderboard(df).collect()] == [2, 3, 1, 0]
