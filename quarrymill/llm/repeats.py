@@ -24,6 +24,7 @@ no rows.
 from __future__ import annotations
 
 import hashlib
+from itertools import groupby
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +34,7 @@ from .common import documents, materialize, prepare, texts
 
 GRAM, LENGTH = 24, 50
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
-STRETCH = 64
+STRETCH, MOST_PARTS = 64, 1 << 16
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -278,33 +279,38 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     table = materialize(blocks(texts(docs, id_col, text_col), block_bytes), "repeat-blocks")
     total = table.agg(F.sum(F.length("data"))).first()[0] or 0
-    bits = max(1, min(16, (3 * total // bucket_bytes).bit_length()))
-    n_buckets, shift = 1 << bits, np.uint64(64 - bits)
+    bits = max(1, min(31, (3 * total // bucket_bytes).bit_length()))
+    shift, n_parts = np.uint64(64 - bits), min(1 << bits, MOST_PARTS)  # a partition has its buckets one after the other
     low_bits = np.uint64(32 - bits)
 
     def rows_of(batches, n):
         for b in batches:
             yield from zip(*(b.column(i).to_pylist() for i in range(n)), strict=True)
 
+    def grouped(batches, n):
+        """The rows of each bucket of a partition that is sorted by bucket, which comes first in the rows."""
+        return (list(rows) for _, rows in groupby(rows_of(batches, n), key=lambda r: r[0]))
+
     def bounds(anchors):
-        """Where each bucket's anchors begin in the ordered ones, and their end."""
-        starts = np.searchsorted(anchors, np.arange(n_buckets, dtype="u8") << shift)
-        return [*starts.tolist(), len(anchors)]
+        """{bucket: (first, end)} of its anchors among the ordered ones."""
+        found, starts = np.unique(anchors >> shift, return_index=True)
+        return dict(zip(found.tolist(), zip(starts.tolist(), [*starts[1:].tolist(), len(anchors)]), strict=True))
 
     def send_anchors(batches):
         for block, ids, sizes, data in rows_of(batches, 4):
             found, multi = Block(ids, sizes, data, length).anchors()
             at = bounds(found)
             short = (found >> low_bits).astype("u4")
-            out = [(i, short[a:b].tobytes(), np.packbits(multi[a:b]).tobytes()) for i, (a, b) in enumerate(zip(at, at[1:])) if b > a]
+            out = [(i, short[a:b].tobytes(), np.packbits(multi[a:b]).tobytes()) for i, (a, b) in at.items()]
             if out:
                 bucket, anchors, several = zip(*out, strict=True)
                 yield _arrow({"bucket": bucket, "block": [block] * len(out), "anchors": anchors, "several": several})
 
     def find_shared(batches):
-        rows = list(rows_of(batches, 4))
-        if not rows:
-            return
+        for rows in grouped(batches, 4):
+            yield from flags_of(rows)
+
+    def flags_of(rows):
         short = [np.frombuffer(r[2], "u4") for r in rows]
         multi = [np.unpackbits(np.frombuffer(r[3], "u1"), count=len(s)).astype(bool) for r, s in zip(rows, short, strict=True)]
         # A block's anchors differ, but two may have the same 32 bits: then both count as shared.
@@ -318,14 +324,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
         found, _ = block.anchors()
         at, keep = bounds(found), np.zeros(len(found), bool)
         for f in flags or ():
-            a, b = at[f["bucket"]], at[f["bucket"] + 1]
+            a, b = at[f["bucket"]]
             keep[a:b] = np.unpackbits(np.frombuffer(f["flags"], "u1"), count=b - a)
         return found[keep]
 
-    def cut(keys: list[bytes]) -> list[int]:
-        from bisect import bisect_left
-
-        return [*(bisect_left(keys, (i << int(shift)).to_bytes(8, "big")) for i in range(n_buckets)), len(keys)]
+    def cut(keys: list[bytes]) -> dict[int, tuple[int, int]]:
+        return bounds(np.array([int.from_bytes(k[:8], "big") for k in keys], "u8"))
 
     def send_runs(batches):
         import zstandard
@@ -336,21 +340,22 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
             _, _, smallest = b.suffixes(shared_of(b, flags))
             ordered = sorted(smallest)
             at = cut(ordered)
-            for i, (x, y) in enumerate(zip(at, at[1:])):
-                if y > x:
-                    prefixes, lengths, rests = front_code(ordered[x:y])
-                    yield _arrow({
-                        "bucket": [i], "block": [block], "prefixes": [packer.compress(prefixes)], "lengths": [packer.compress(lengths)], "rests": [packer.compress(rests)],
-                        "docs": [packer.compress(np.array([smallest[k] for k in ordered[x:y]], "<i8").tobytes())],
-                    })
+            for i, (x, y) in at.items():
+                prefixes, lengths, rests = front_code(ordered[x:y])
+                yield _arrow({
+                    "bucket": [i], "block": [block], "prefixes": [packer.compress(prefixes)], "lengths": [packer.compress(lengths)], "rests": [packer.compress(rests)],
+                    "docs": [packer.compress(np.array([smallest[k] for k in ordered[x:y]], "<i8").tobytes())],
+                })
 
     def merge_runs(batches):
+        for rows in grouped(batches, 6):
+            yield from answers_of_bucket(rows)
+
+    def answers_of_bucket(rows):
         import zstandard
 
         unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
-        rows = [(bucket, block, *map(unpack, rest)) for bucket, block, *rest in rows_of(batches, 6)]
-        if not rows:
-            return
+        rows = [(bucket, block, *map(unpack, rest)) for bucket, block, *rest in rows]
         ids = [np.frombuffer(r[5], "<i8").tolist() for r in rows]
         answers: list[list] = [[] for _ in rows]
         group: list[list] = []  # of one anchor: suffix, smallest doc_id, runs that hold it
@@ -394,7 +399,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
                 n, m = np.frombuffer(raw, "<u8", 2).tolist()
                 per, lengths = np.frombuffer(raw, "<u4", n, 16).tolist(), np.frombuffer(raw, "<u4", m, 16 + 4 * n).tolist()
                 docs_of, p = np.frombuffer(raw, "<i8", m, 16 + 4 * n + 4 * m).tolist(), 0
-                first = at[a["bucket"]]
+                first, _ = at[a["bucket"]]
                 for i, k in enumerate(per):
                     pieces[ordered[first + i]] = (docs_of[p], None) if k == 1 else (min(docs_of[p : p + k]), [(lengths[q], docs_of[q]) for q in range(p, p + k)])
                     p += k
@@ -422,11 +427,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
 
     schema = SCHEMA + ", kept binary" * keep_text
     anchors = table.select("block", "ids", "sizes", "data").mapInArrow(send_anchors, "bucket int, block long, anchors binary, several binary")
-    flags = anchors.repartitionById(n_buckets, F.col("bucket")).mapInArrow(find_shared, "bucket int, block long, flags binary")
+    flags = anchors.repartitionById(n_parts, F.col("bucket") % n_parts).sortWithinPartitions("bucket").mapInArrow(find_shared, "bucket int, block long, flags binary")
     flags = materialize(flags.groupBy("block").agg(F.collect_list(F.struct("bucket", "flags")).alias("flags")), "repeat-flags")
     joined = table.join(flags, "block", "left").select("block", "ids", "sizes", "data", "flags")
     runs = joined.mapInArrow(send_runs, "bucket int, block long, prefixes binary, lengths binary, rests binary, docs binary")
-    answers = runs.repartitionById(n_buckets, F.col("bucket")).mapInArrow(merge_runs, "bucket int, block long, answer binary")
+    answers = runs.repartitionById(n_parts, F.col("bucket") % n_parts).sortWithinPartitions("bucket").mapInArrow(merge_runs, "bucket int, block long, answer binary")
     answers = materialize(answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "answer")).alias("answered")), "repeat-answers")
     return joined.join(answers, "block", "left").select("block", "ids", "sizes", "data", "flags", "answered").mapInArrow(remove, schema)
 

@@ -60,6 +60,12 @@ def test_like_brute_force(spark, block, bucket):
     assert sorted(map(tuple, repeats.remove_repeats(frame(spark, rows), 50, block, bucket).collect())) == brute(rows)
 
 
+def test_several_buckets_in_a_partition(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "MOST_PARTS", 3)
+    rows = texts(5)
+    assert sorted(map(tuple, repeats.remove_repeats(frame(spark, rows), 50, 3000, 200).collect())) == brute(rows)
+
+
 def test_nasty(spark):
     rows = [*NASTY, *((100 + i, "A hot passage that very many of the documents share, " * 2 + str(i)) for i in range(60)), (300, "y" * 49), (301, "y" * 49), (302, "y" * 50), (303, "y" * 51), (303, "y" * 50), (304, LONG[1000:5000])]
     assert sorted(map(tuple, repeats.remove_repeats(frame(spark, rows), block_bytes=30_000).collect())) == brute(rows)
