@@ -8,9 +8,11 @@ rejected, as no language that was learned is near, if its best cosine lies under
 language's sample rows have. Their cosines for this are held out: each half is held against the other half's clusters.
 A text of less than ENOUGH distinct n-grams says less: its limit falls with the root of their number.
 
-The centroids come from a bounded sample of labelled rows, at most `per_language` of each of the MOST_LANGUAGES most
-frequent languages, those with the smallest hash of their id; every row is classified from its whole text. Null texts and texts without a letter get
-`und`, score 0, and are rejected. If no language can be learned, every text gets that.
+The centroids come from a bounded sample of labelled rows, at most `per_language` of each of the `languages` most frequent
+languages, those with the smallest hash of their id; every row is classified from its whole text. Rows of rarer languages
+get another one or are rejected. Null texts and texts without a letter get `und`, score 0, and are rejected. If no language
+can be learned, every text gets that. Of equal cosines the language first in order wins. Repeated rows count and are told as
+often as they occur; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, prepare
@@ -115,16 +117,17 @@ class Centroids:
         return out
 
 
-def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, bits: int = BITS, clusters: int = CLUSTERS) -> Centroids:
-    """Centroids from the rows of docs (doc_id, text, lang) with text and lang."""
+def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, bits: int = BITS, clusters: int = CLUSTERS, languages: int = MOST_LANGUAGES) -> Centroids:
+    """Centroids from the rows of docs (doc_id, text, lang) with text and lang. The rows of a language with the smallest
+    hashes of their ids are found in one scan for all: counts say below which hash four times as many as needed lie."""
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
-    frequent = marked.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
-    chosen = None
-    for language in sorted(r.lang for r in frequent.collect()):
-        part = marked.where(F.col("lang") == language).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_language)
-        chosen = part if chosen is None else chosen.union(part)
-    if chosen is None:
+    frequent = marked.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    if not frequent:
         return Centroids([], bits)
+    most = [(r["lang"], -(1 << 63) + (min((1 << 64) - 1, (4 * per_language << 64) // r["count"]))) for r in frequent]
+    limits = F.broadcast(docs.sparkSession.createDataFrame(most, "lang string, most long"))
+    few = marked.select("doc_id", "lang", F.xxhash64("doc_id").alias("hash")).join(limits, "lang").where("hash <= most").select("lang", "hash", "doc_id").distinct()
+    chosen = few.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("hash", "doc_id"))).where(F.col("place") <= per_language).select("doc_id", "lang")
 
     def features(batches):
         import pyarrow as pa
@@ -133,7 +136,7 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, bits: int = BITS, c
             kept = [(lang, *counts(t, bits)) for t, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if has_letter(t)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in kept], pa.string()), *(pa.array([r[i].tobytes() for r in kept], pa.binary()) for i in (1, 2))], names=["lang", "at", "n"])
 
-    rows = marked.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"]).select("text", "lang").mapInArrow(features, "lang string, at binary, n binary").collect()
+    rows = marked.join(F.broadcast(chosen), ["doc_id", "lang"]).select("text", "lang").mapInArrow(features, "lang string, at binary, n binary").collect()
     rows = sorted((r.lang, bytes(r.at), bytes(r.n)) for r in rows)
     return Centroids([(lang, np.frombuffer(at, np.int32), np.frombuffer(n, np.int32)) for lang, at, n in rows], bits, clusters)
 
