@@ -3,8 +3,9 @@
 A text is brought to its canonical form (NFKC, case folding, NFKC again, white space folded to single blanks); its
 fingerprint is a 128-bit xxHash of that form. Inside equal buckets the canonical bytes are compared: per digest the
 least and greatest (losslessly packed) canonical texts, combined in each task first, so that a hot bucket reaches a
-reducer as one pair a task. If a digest is found under different texts, its fingerprints get a SHA-256 of the
-canonical form appended, so equal fingerprints always mean equal canonical texts.
+reducer as one pair a task. Edited texts, which exist only where two documents meet, are compared with each other and with
+the documents by the SHA-256 of their canonical forms. If a digest is found under different texts, its fingerprints get
+that SHA-256 appended, so equal fingerprints mean equal canonical texts, in both columns.
 
 `successors` gives each document the next one in ascending doc_id without sorting everything into one task: split
 points are identifiers that occur, rows go straight to the partition of their range, and the first row of each range
@@ -126,7 +127,6 @@ def fingerprints(docs: DataFrame, bits: int = 128, chars_per_range: int = 4_000_
     0.0, since an exact fingerprint knows no degrees. bits: fewer make more collisions, never another grouping."""
     prepare(docs.sparkSession)
     rows = texts(docs, id_col, text_col)
-    collided = materialize(collisions(rows, bits), "fingerprint-collided")
 
     def run(batches):
         import pyarrow as pa
@@ -152,7 +152,10 @@ def fingerprints(docs: DataFrame, bits: int = 128, chars_per_range: int = 4_000_
 
     KINDS = [getattr(pa_types(), k)() for k in ("int64", "int64", "string", "binary", "binary", "binary", "binary", "float64", "float64")]
     ordered, _ = successors(rows, chars_per_range)
-    found = ordered.mapInArrow(run, RAW_SCHEMA)
+    found = materialize(ordered.mapInArrow(run, RAW_SCHEMA), "fingerprint-rows")
+    each = found.select(F.col("d").alias("digest"), F.col("d_sha").alias("sha")).unionByName(found.select(F.col("e").alias("digest"), F.col("e_sha").alias("sha")))
+    unlike = each.groupBy("digest").agg(F.min("sha").alias("least"), F.max("sha").alias("most")).where("least != most").select("digest")
+    collided = materialize(collisions(rows, bits).unionByName(unlike).distinct(), "fingerprint-collided")
     if collided.isEmpty():
         found = found.withColumns({"fingerprint": F.lower(F.hex("d")), "edited_fingerprint": F.lower(F.hex("e"))})
     else:

@@ -44,7 +44,7 @@ def brute_fingerprints(rows):
     return out
 
 
-@pytest.mark.parametrize(("bits", "chars"), [(128, 4_000_000), (128, 20_000), (8, 1), (0, 1000)])
+@pytest.mark.parametrize(("bits", "chars"), [(128, 4_000_000), (16, 20_000), (8, 1), (0, 1000)])
 def test_fingerprints(spark, bits, chars):
     rows = [*NASTY, *((100 + i, f"Copy {i // 7}") for i in range(50))]
     got = fingerprints.fingerprints(frame(spark, rows), bits, chars).collect()
@@ -53,6 +53,10 @@ def test_fingerprints(spark, bits, chars):
     forms = {i: fingerprints.canonical(t or "") for i, t in rows}
     assert all((of[a] == of[b]) == (forms[a] == forms[b]) for a in of for b in of)
     assert of[5] == of[7]
+    ordered = sorted((i, t or "") for i, t in rows)
+    changed = {i: fingerprints.canonical(fingerprints.edited(t, ordered[(n + 1) % len(ordered)][1])) for n, (i, t) in enumerate(ordered)}
+    both = [(r.fingerprint, forms[r.doc_id]) for r in got] + [(r.edited_fingerprint, changed[r.doc_id]) for r in got]
+    assert len({f for f, _ in both}) == len({t for _, t in both}) == len(set(both))
 
 
 def test_one_document_follows_itself(spark):
