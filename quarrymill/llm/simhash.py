@@ -418,7 +418,7 @@ def proposed(nodes: DataFrame, distance: int) -> DataFrame:
             bounds = np.flatnonzero(np.diff(keys)) + 1
             starts, stops = np.concatenate([[0], bounds]), np.concatenate([bounds, [len(keys)]])
             small = np.repeat(stops - starts <= SMALL, stops - starts)
-            for k in range(1, FEW):
+            for k in range(1, SMALL):  # rows k places apart
                 i = np.flatnonzero((keys[:-k] == keys[k:]) & small[k:])
                 if len(i) == 0:
                     break

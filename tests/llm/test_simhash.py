@@ -228,3 +228,15 @@ def test_similar_nasty_and_empty(spark):
     got = simhash.similar_documents(frame(spark, NASTY)).collect()
     assert {x.doc_id: x.component_id for x in got} == brute_similar(NASTY) and len(got) == len(NASTY)
     assert simhash.similar_documents(frame(spark, [])).count() == 0
+
+
+def test_small_buckets_propose_all_near_pairs(spark):
+    """Ids of one half of the fingerprint meet in one bucket; the near pairs among 40 of them may be any places apart."""
+    r = random.Random(5)
+    high = r.getrandbits(32) << 32
+    lows = [r.getrandbits(32) for _ in range(40)]
+    fps = [high | x for x in lows] + [(high | x) ^ 1 << 3 ^ 1 << 9 for x in lows[:5]]
+    rows = [(i, f - (1 << 64) if f >> 63 else f, i) for i, f in enumerate(fps)]
+    got = {tuple(x) for x in simhash.proposed(spark.createDataFrame(rows, "id long, fp long, part long"), 2).collect()}
+    want = {(i, j) for j in range(len(fps)) for i in range(j) if (fps[i] ^ fps[j]).bit_count() <= 2}
+    assert got == want and {(i, 40 + i) for i in range(5)} <= want
