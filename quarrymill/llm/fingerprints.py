@@ -24,7 +24,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, prepare, texts
+from .common import documents, materialize, prepare, release, texts
 
 MAX_RANGES = 20_000
 
@@ -153,6 +153,8 @@ def fingerprints(docs: DataFrame, bits: int = 128, chars_per_range: int = 4_000_
     KINDS = [getattr(pa_types(), k)() for k in ("int64", "int64", "string", "binary", "binary", "binary", "binary", "float64", "float64")]
     ordered, _ = successors(rows, chars_per_range)
     found = materialize(ordered.mapInArrow(run, RAW_SCHEMA), "fingerprint-rows")
+    del ordered  # its exchange of the texts isn't needed beside that of the collisions
+    release(docs.sparkSession)
     each = found.select(F.col("d").alias("digest"), F.col("d_sha").alias("sha")).unionByName(found.select(F.col("e").alias("digest"), F.col("e_sha").alias("sha")))
     unlike = each.groupBy("digest").agg(F.min("sha").alias("least"), F.max("sha").alias("most")).where("least != most").select("digest")
     collided = materialize(collisions(rows, bits).unionByName(unlike).distinct(), "fingerprint-collided")
