@@ -152,8 +152,8 @@ def fingerprints(docs: DataFrame, bits: int = 128, chars_per_range: int = 4_000_
 
     KINDS = [getattr(pa_types(), k)() for k in ("int64", "int64", "string", "binary", "binary", "binary", "binary", "float64", "float64")]
     clashing = materialize(collisions(rows, bits), "fingerprint-clashing")
-    release(docs.sparkSession)  # this exchange of the texts isn't needed beside that of the ordered rows
     ordered, _ = successors(rows, chars_per_range)
+    release(docs.sparkSession)  # the first exchange of the texts; Spark lets go of a job's files only after the next job, here that of the ranges
     found = materialize(ordered.mapInArrow(run, RAW_SCHEMA), "fingerprint-rows")
     each = found.select(F.col("d").alias("digest"), F.col("d_sha").alias("sha")).unionByName(found.select(F.col("e").alias("digest"), F.col("e_sha").alias("sha")))
     unlike = each.groupBy("digest").agg(F.min("sha").alias("least"), F.max("sha").alias("most")).where("least != most").select("digest")
