@@ -44,7 +44,7 @@ def _shape(word: bytes) -> int:
             if c != last:
                 runs.append(c)
                 last = c
-        found = zlib.crc32(bytes(runs[:24]))
+        found = zlib.crc32(bytes(runs))
         if len(word) <= 24:
             if len(_SHAPES) > 200_000:
                 _SHAPES.clear()
