@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprints, language, packing, personal_data, quality, repeats, simhash, token_counts
+from . import bpe, exact_dedup, fingerprints, language, packing, personal_data, quality, repeats, simhash, token_counts, vector_codes
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_language": language.op8,
     "op9_repeats": repeats.op9,
     "op10_quality": quality.op10,
+    "op11_vector_codes": vector_codes.op11,
 }
 
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": exact_dedup.ORACLE,
+    "op11_vector_codes": vector_codes.ORACLE,
 }
