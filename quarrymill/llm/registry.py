@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprints, language, packing, personal_data, quality, repeats, simhash, token_counts, vector_codes
+from . import bpe, exact_dedup, fingerprints, language, packing, personal_data, quality, repeats, resampling, simhash, token_counts, vector_codes
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1,
@@ -16,9 +16,11 @@ QUERIES = {
     "op9_repeats": repeats.op9,
     "op10_quality": quality.op10,
     "op11_vector_codes": vector_codes.op11,
+    "op12_resampling": resampling.op12,
 }
 
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": exact_dedup.ORACLE,
     "op11_vector_codes": vector_codes.ORACLE,
+    "op12_resampling": resampling.ORACLE,
 }
