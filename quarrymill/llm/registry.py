@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fingerprints, language, packing, personal_data, quality, repeats, resampling, simhash, token_counts, vector_codes
+from . import bpe, exact_dedup, fingerprints, html_text, language, packing, personal_data, quality, repeats, resampling, simhash, token_counts, vector_codes
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_quality": quality.op10,
     "op11_vector_codes": vector_codes.op11,
     "op12_resampling": resampling.op12,
+    "op13_html_text": html_text.op13,
 }
 
 ORACLES: dict[str, str] = {
