@@ -9,6 +9,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,27 +31,55 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_OWN[0]}"
 
 
-def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
+class Scope:
+    """Tables that are discarded together."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_SCOPES: list[Scope] = []
+#: For tables that results read lazily: they stay until the session's folder is cleaned.
+STAYS = Scope()
+
+
+@contextmanager
+def passing(spark: SparkSession):
+    """Tables written inside are discarded at its end, but for those given another scope. What is read later must be
+    written with STAYS, or with a scope that lasts longer."""
+    scope = Scope()
+    _SCOPES.append(scope)
+    try:
+        yield scope
+    finally:
+        _SCOPES.remove(scope)
+        discard(spark, *scope.paths)
+
+
+def materialize(df: DataFrame, name: str, scope: Scope | None = None, **options: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: its lineage ends there, and losing an executor costs nothing.
-    The table stays until the session's folder is cleaned, since lazily built results still read it."""
+    The table stays as long as its scope, by default that of the innermost `passing`; outside of these, until the session's folder is
+    cleaned, since lazily built results still read it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
+    (scope or (_SCOPES[-1] if _SCOPES else STAYS)).paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """As materialize, with the table's path, for a table that its maker discards once the next one is written."""
+    """As materialize, with the table's path and without a scope, for a table that its maker discards once the next one is written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Deletes a table that no plan reads any more."""
-    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables that no plan reads any more."""
+    for path in paths:
+        found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
 
 
 def release(spark: SparkSession) -> None:

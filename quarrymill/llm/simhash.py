@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, prepare, release, texts
+from .common import STAYS, Scope, documents, materialize, passing, prepare, release, texts
 from .components import components
 
 BITS, LARGE, MASKS = 64, 3000, 2000
@@ -315,10 +315,11 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 class _Links:
-    """The links found so far, and the part (connected component) that each node has by them."""
+    """The links found so far, and the part (connected component) that each node has by them. Tables of links live as
+    long as `scope`, what is needed to find them no longer than the search."""
 
-    def __init__(self, nodes: DataFrame, sets: DataFrame, similarity: float):
-        self.nodes, self.sets, self.similarity = nodes, sets, similarity
+    def __init__(self, nodes: DataFrame, sets: DataFrame, similarity: float, scope: Scope):
+        self.nodes, self.sets, self.similarity, self.scope = nodes, sets, similarity, scope
         self.edges: DataFrame | None = None
         self.found: DataFrame | None = None
 
@@ -330,29 +331,35 @@ class _Links:
 
     def test(self, pairs: DataFrame) -> None:
         """Keeps the proposed pairs (u, v) that are similar enough."""
-        pairs = materialize(pairs.distinct(), "simhash-pairs")
-        conf = pairs.sparkSession.conf
+        spark, conf = pairs.sparkSession, pairs.sparkSession.conf
         size = conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")  # two sets a row
-        try:
-            new = materialize(similar(pairs, self.sets, self.similarity), "simhash-links")
-        finally:
-            conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        with passing(spark):
+            pairs = materialize(pairs.distinct(), "simhash-pairs")
+            release(spark)  # the exchange of the buckets
+            conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")  # two sets a row
+            try:
+                new = materialize(similar(pairs, self.sets, self.similarity), "simhash-links", self.scope)
+            finally:
+                conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        release(spark)  # the exchange of the sets
         self.edges = new if self.edges is None else self.edges.unionByName(new)
-        self.found = components(self.edges)
-        release(pairs.sparkSession)
+        self.found = components(self.edges, scope=self.scope)
+        release(spark)
 
 
-def _buckets(state: _Links, rows: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _buckets(state: _Links, rows: DataFrame, nodes: DataFrame, scope: Scope) -> tuple[DataFrame, DataFrame]:
     """(rows (id, key, ...) of buckets with several rows, with their number n, samples and part, and their center's id,
     samples (others) and part; the centers). The center of a bucket is its smallest id."""
     # Tables of their own on both sides of a join, so that a hot key's partition can be split.
-    rows = materialize(rows, "simhash-buckets")
-    centers = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("center")).where("n > 1"), "simhash-centers")
-    company = state.parted(rows.join(centers, "key")).join(nodes.select("id", "samples"), "id")
-    heads = centers.select(F.col("center").alias("id")).distinct().join(nodes.select("id", F.col("samples").alias("others")), "id")
-    heads = materialize(heads.withColumnRenamed("id", "center"), "simhash-heads")
-    return materialize(company.join(_of_center(state, heads), "center"), "simhash-company"), heads.select("center")
+    with passing(rows.sparkSession):
+        rows = materialize(rows, "simhash-buckets")
+        centers = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("center")).where("n > 1"), "simhash-centers")
+        company = state.parted(rows.join(centers, "key")).join(nodes.select("id", "samples"), "id")
+        heads = centers.select(F.col("center").alias("id")).distinct().join(nodes.select("id", F.col("samples").alias("others")), "id")
+        heads = materialize(heads.withColumnRenamed("id", "center"), "simhash-heads", scope)
+        company = materialize(company.join(_of_center(state, heads), "center"), "simhash-company", scope)
+    release(rows.sparkSession)
+    return company, heads.select("center")
 
 
 def _star_pairs(company: DataFrame) -> DataFrame:
@@ -372,18 +379,21 @@ def _propose_by_samples(state: _Links, nodes: DataFrame) -> DataFrame:
     """Nodes with a sample in common form a bucket. Each node proposes itself to the center that it shares most samples with;
     the tested links leave few buckets with several parts. Their rows meet again by pairs of samples: small buckets propose
     all pairs of different parts, large ones their centers, twice. The second time's pairs are returned untested."""
-    rows = nodes.select("id", F.posexplode("samples").alias("at", "sample")).select("id", "at", F.xxhash64("at", "sample").alias("key"))
-    company, heads = _buckets(state, rows, nodes)
-    state.test(_star_pairs(company))
-    left = _apart(state, company, heads)
-    own = left.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("at", "key"))).alias("own"))  # as many as samples at most
-    two = own.select("id", F.explode(F.flatten(F.transform("own", lambda x: F.transform(F.filter("own", lambda y: y["at"] > x["at"]), lambda y: F.xxhash64(x["key"], y["key"]))))).alias("key"))
-    company, heads = _buckets(state, two, nodes)
+    spark = nodes.sparkSession
+    with passing(spark) as here:
+        rows = nodes.select("id", F.posexplode("samples").alias("at", "sample")).select("id", "at", F.xxhash64("at", "sample").alias("key"))
+        company, heads = _buckets(state, rows, nodes, here)
+        state.test(_star_pairs(company))
+        left = _apart(state, company, heads)
+        own = left.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("at", "key"))).alias("own"))  # as many as samples at most
+        two = own.select("id", F.explode(F.flatten(F.transform("own", lambda x: F.transform(F.filter("own", lambda y: y["at"] > x["at"]), lambda y: F.xxhash64(x["key"], y["key"]))))).alias("key"))
+        two = materialize(two, "simhash-twos", state.scope)
+    company, heads = _buckets(state, two, nodes, state.scope)
     few = company.where(F.col("n") <= FEW)
     one, other = (few.select(F.col("key").alias("key" + x), F.col("id").alias("id" + x), F.col("part").alias("part" + x)) for x in "12")
     close = one.join(other, F.col("key1") == F.col("key2")).where("id1 < id2 and part1 != part2")
     state.test(_star_pairs(company.where(F.col("n") > FEW)).unionByName(close.select(F.col("id1").alias("u"), F.col("id2").alias("v"))))
-    again, _ = _buckets(state, _apart(state, company.where(F.col("n") > FEW), heads).select("id", "key"), nodes)
+    again, _ = _buckets(state, _apart(state, company.where(F.col("n") > FEW), heads).select("id", "key"), nodes, state.scope)
     return _star_pairs(again)
 
 
@@ -452,13 +462,14 @@ def proposed(nodes: DataFrame, distance: int) -> DataFrame:
     return indexed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(meet, "u long, v long")
 
 
-def _verified(nodes: DataFrame, sets: DataFrame, distance: int, similarity: float) -> DataFrame:
-    """(node, component) by the pairs of nodes that samples or near fingerprints propose and the sets confirm."""
-    state = _Links(nodes, sets, similarity)
+def _verified(nodes: DataFrame, sets: DataFrame, distance: int, similarity: float, scope: Scope = STAYS) -> DataFrame:
+    """(node, component) by the pairs of nodes that samples or near fingerprints propose and the sets confirm. scope: how
+    long the tables stay that the result reads."""
+    state = _Links(nodes, sets, similarity, scope)
     again = _propose_by_samples(state, nodes)
     nodes.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")  # four numbers a row
-    rest = materialize(state.parted(nodes.select("id", "fp")), "simhash-parts")
-    each = materialize(rest.groupBy("fp").agg(F.min(F.struct("id", "part")).alias("m")).select("fp", "m.id", "m.part"), "simhash-prints")
+    rest = materialize(state.parted(nodes.select("id", "fp")), "simhash-parts", scope)
+    each = materialize(rest.groupBy("fp").agg(F.min(F.struct("id", "part")).alias("m")).select("fp", "m.id", "m.part"), "simhash-prints", scope)
     same = rest.join(each.select("fp", F.col("id").alias("u"), F.col("part").alias("p")), "fp").where("id != u and part != p")
     state.test(proposed(each, distance).unionByName(same.select("u", F.col("id").alias("v"))).unionByName(again))
     return state.found
@@ -472,17 +483,19 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     conf = docs.sparkSession.conf
     batch = conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     every = shingle_sets(texts(docs, id_col, text_col).withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256)), words, samples)
-    every = materialize(every.withColumn("row", F.monotonically_increasing_id()), "simhash-sets")
-    least = materialize(every.groupBy("digest").agg(F.min("row").alias("id")), "simhash-least")
-    rows = materialize(every.select("row", "doc_id", "text_sha256", "digest", "fp", "samples").join(least, "digest").drop("digest"), "simhash-rows")
-    nodes = rows.where("row = id").select("id", "fp", "samples")
-    try:
-        found = _verified(nodes, every.select(F.col("row").alias("id"), "hashes"), distance, similarity)
-    finally:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
-    labelled = rows.select("doc_id", "text_sha256", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("doc_id", "text_sha256", F.coalesce("component", "id").alias("component"))
-    named = materialize(labelled.groupBy("component").agg(F.min("doc_id").alias("component_id")), "simhash-named")
-    return labelled.join(named, "component").select("doc_id", "text_sha256", "component_id")
+    with passing(docs.sparkSession) as scope:
+        every = materialize(every.withColumn("row", F.monotonically_increasing_id()), "simhash-sets")
+        least = materialize(every.groupBy("digest").agg(F.min("row").alias("id")), "simhash-least")
+        rows = materialize(every.select("row", "doc_id", "text_sha256", "digest", "fp", "samples").join(least, "digest").drop("digest"), "simhash-rows")
+        release(docs.sparkSession)
+        nodes = rows.where("row = id").select("id", "fp", "samples")
+        try:
+            found = _verified(nodes, every.select(F.col("row").alias("id"), "hashes"), distance, similarity, scope)
+        finally:
+            conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        labelled = rows.select("doc_id", "text_sha256", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("doc_id", "text_sha256", F.coalesce("component", "id").alias("component"))
+        named = materialize(labelled.groupBy("component").agg(F.min("doc_id").alias("component_id")), "simhash-named")
+        return materialize(labelled.join(named, "component").select("doc_id", "text_sha256", "component_id"), "simhash-groups", STAYS)
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, prints: int = 1, n_segments: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
