@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.llm import exact_dedup, language, packing, personal_data, simhash
-from quarrymill.llm.common import materialize, tokenizer_file
+from quarrymill.llm.common import STAYS, discard, materialize, passing, release, stored, tokenizer_file
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,9 +22,11 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows with the same text, the one with the largest doc_id; of rows with the same doc_id and text the first one, in
     the order of their columns as JSON."""
-    found = exact_dedup.exact_duplicates(docs, keep="max").where("kept")
-    staying = found.groupBy(F.col("doc_id").alias("staying"), F.col("text_sha256").alias("digest")).agg((F.count(F.lit(1)) > 1).alias("several"))
-    staying = materialize(staying, "exact-staying")
+    with passing(spark):
+        found = exact_dedup.exact_duplicates(docs, keep="max").where("kept")
+        staying = found.groupBy(F.col("doc_id").alias("staying"), F.col("text_sha256").alias("digest")).agg((F.count(F.lit(1)) > 1).alias("several"))
+        staying = materialize(staying, "exact-staying", STAYS)
+    release(spark)
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     same = lambda ids: (F.col("doc_id") == ids["staying"]) & (digest == ids["digest"])
     once, more = staying.where("not several"), staying.where("several")
@@ -70,7 +72,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs, path = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before:
+            discard(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
