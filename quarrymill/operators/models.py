@@ -1,20 +1,20 @@
-"""Model families over Spark ML, their search spaces, and the label dictionary.
+"""Model families, their search spaces, and the label dictionary.
 
-Two learners stand for the three families. What they lack is listed in LOST and recorded with each trial: a minimum size
-for splits, L1 penalties, column samples per tree (drawn per node here), leaf-wise growth (a depth stands for a number of
-leaves).
+The boosted families are `trees.Booster`, by level or by best leaf. Forests are Spark ML's where its learner can say what
+is asked, else `trees.Forest`: for a minimum size of splits that the leaves' minimum doesn't imply, and for depths over
+Spark's 30.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, lookup
+from .trees import Booster, Forest
 
 #: The search space of each family. ("int", low, high), ("float", low, high), ("log", low, high) or ("choice", ...).
 SPACES = {
@@ -23,7 +23,6 @@ SPACES = {
     "lightgbm": {"num_leaves": ("int", 20, 300), "learning_rate": ("log", 0.001, 0.3), "n_estimators": ("int", 50, 500), "min_child_samples": ("int", 5, 100), "feature_fraction": ("float", 0.5, 1.0)},
 }
 FAMILIES = tuple(SPACES)
-LOST = {"random_forest": ["min_samples_split"], "xgboost": ["reg_alpha"], "lightgbm": ["num_leaves (as a depth)"]}
 DEEPEST = 30
 
 
@@ -43,20 +42,18 @@ def resolved(family: str, drawn: dict) -> dict:
 def build(family: str, params: dict, task: str, classes: int = 2, seed: int = 42, max_trees: int | None = None):
     """An unfitted estimator over (features, label). max_trees caps the trees, a cost knob that is off unless set."""
     trees = min(params["n_estimators"], max_trees or params["n_estimators"]) if family in SPACES else 0
+    kind = {"task": task, "classes": classes, "trees": trees, "seed": seed}
     if family == "random_forest":
-        depth = DEEPEST if params["max_depth"] is None else min(DEEPEST, params["max_depth"])
-        common = {"numTrees": trees, "maxDepth": depth, "minInstancesPerNode": params["min_samples_leaf"], "seed": seed}
+        depth, split, leaf = params["max_depth"], params.get("min_samples_split", 2), params["min_samples_leaf"]
+        if depth is None or depth > DEEPEST or split > 2 * leaf:
+            return Forest(**kind, depth=depth, least_to_split=split, least_rows=leaf)
+        common = {"numTrees": trees, "maxDepth": depth, "minInstancesPerNode": leaf, "seed": seed}
         return RandomForestClassifier(**common) if task == "classification" else RandomForestRegressor(featureSubsetStrategy="all", **common)
     if family == "xgboost":
-        common = {"maxIter": trees, "maxDepth": params["max_depth"], "stepSize": params["learning_rate"], "subsamplingRate": params["subsample"], "featureSubsetStrategy": str(params["colsample_bytree"]), "seed": seed}
-    elif family == "lightgbm":
-        depth = min(DEEPEST, math.ceil(math.log2(params["num_leaves"])))
-        common = {"maxIter": trees, "maxDepth": depth, "stepSize": params["learning_rate"], "minInstancesPerNode": params["min_child_samples"], "featureSubsetStrategy": str(params["feature_fraction"]), "seed": seed}
-    else:
-        raise ValueError(f"Unsupported model family: {family}")
-    if task != "classification":
-        return GBTRegressor(**common)
-    return GBTClassifier(**common) if classes <= 2 else OneVsRest(classifier=GBTClassifier(**common), parallelism=min(classes, 4))
+        return Booster(**kind, depth=params["max_depth"], rate=params["learning_rate"], subsample=params["subsample"], column_share=params["colsample_bytree"], alpha=params["reg_alpha"])
+    if family == "lightgbm":
+        return Booster(**kind, depth=None, leaves=params["num_leaves"], rate=params["learning_rate"], least_rows=params["min_child_samples"], column_share=params["feature_fraction"], l2=0.0, least_weight=1e-3)
+    raise ValueError(f"Unsupported model family: {family}")
 
 
 class Labels:
@@ -80,17 +77,9 @@ class Labels:
 
 
 def predictions(model, df: DataFrame, classes: int) -> DataFrame:
-    """df with p and, for classifiers, scores: the probabilities, or what one-against-rest models give."""
+    """df with p and, for classifiers, scores: the probabilities."""
     out = model.transform(df).withColumn("p", F.col("prediction"))
-    from pyspark.ml.functions import vector_to_array
-
-    if classes and "probability" in out.columns:
-        return out.withColumn("scores", vector_to_array("probability"))
-    if classes and "rawPrediction" in out.columns:
-        raw = vector_to_array("rawPrediction")
-        up = F.transform(raw, lambda x: 1 / (1 + F.exp(-2 * x)))
-        return out.withColumn("scores", F.transform(up, lambda x: x / F.aggregate(up, F.lit(0.0), lambda a, v: a + v)))
-    return out
+    return out.withColumn("scores", vector_to_array("probability")) if classes else out
 
 
 def importances(model, names: list[str]) -> list[tuple[str, float]] | None:

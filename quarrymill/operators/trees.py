@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .scratch import discard, stored
 
-BINS, BYTES, AHEAD, FOLD_IN, QUANTUM = 64, 1 << 26, 16, 10, 2.0**-24
+BINS, BYTES, AHEAD, FOLD_IN, QUANTUM = 64, 1 << 26, 64, 10, 2.0**-24
 ROWS = "bins binary, y double, draw bigint, margins binary"
 
 
@@ -341,8 +341,13 @@ class Grower:
     def _parts(self, nodes: int) -> int:
         return max(1, min(int(self.rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes * self.width // 8))
 
+    @property
+    def most(self) -> int:
+        """How many nodes a pass may measure."""
+        return max(1, BYTES // (8 * self.width * self.bins * self.rule.size))
+
     def _pieces(self, asked: list[Asked]) -> Iterator[list[Asked]]:
-        most = max(1, BYTES // (8 * self.width * self.bins * self.rule.size))
+        most = self.most
         return (asked[i : i + most] for i in range(0, len(asked), most))
 
     def measure(self, asked: list[Asked], trees: list[Tree], statistics: Callable) -> list[Found | None]:
@@ -425,7 +430,7 @@ class Grower:
             # Measure the children of the best leaves of each tree, as far as they may be popped.
             ask, siblings, slots, parents = [], {}, {}, {}
             for t, q in enumerate(queues):
-                open_ = [n for _, n in heapq.nsmallest(min(AHEAD, leaves - trees[t].leaves), q)]
+                open_ = [n for _, n in heapq.nsmallest(min(AHEAD, max(1, self.most // len(trees)), leaves - trees[t].leaves), q)]
                 for n in open_:
                     s = names[t][n]
                     if (t, s) in ghosts:
@@ -643,6 +648,31 @@ class Forest:
         return statistics
 
 
+def feature_cuts(df: DataFrame, names: list[str], label: str, classes: int = 0, bins: int = 256, l2: float = 1.0) -> DataFrame:
+    """(feature, threshold, gain) of each feature's best cut of all rows, as the root of a forest's tree sees it (classes > 0:
+    label counts from 0), or of the first regression tree of a booster. Features without a cut are left out."""
+    from .features import assemble
+
+    vectors = assemble(df, names, [label])
+    cuts = cut_points(vectors, "features", len(names), bins)
+    rule, quantum, mean = Impurity(classes) if classes else SecondOrder(l2), QUANTUM, 0.0
+    if not classes:
+        y = F.col(label).cast("double")
+        mean, span = df.agg(F.avg(y), F.max(y) - F.min(y)).first()
+        quantum = QUANTUM * 2.0 ** math.ceil(math.log2(span or 1.0))
+    rows = binned(vectors, "features", label, None, cuts, np.zeros(0))
+
+    def statistics(y, draw, margins, x):
+        one = np.ones(len(y))
+        parts = [(y == k).astype(float) for k in range(classes)] if classes else [np.rint((mean - y) / quantum) * quantum, one]
+        yield np.stack([*parts, one], 1), one > 0
+
+    cells = _histograms(rows, [Asked(0, 0, np.arange(len(names)))], [Tree()], statistics, rule.size, len(names), bins)
+    found = _combined(cells, rule, bins, Grower(rows, cuts, rule, bins)._parts(1)).where("gain > 0")
+    edges = F.array(*(F.array(*map(F.lit, c)).cast("array<double>") for c in cuts))
+    return found.select(F.get(F.array(*map(F.lit, names)), F.col("feature")).alias("feature"), F.get(F.get(edges, F.col("feature")), F.col("bin")).alias("threshold"), "gain")
+
+
 class TreesModel(Model, MLWritable, MLReadable):
     """Fitted trees: adds `prediction`, and `probability` for classification, to rows with `features`."""
 
