@@ -32,11 +32,51 @@ def normalize_missing(df: DataFrame) -> DataFrame:
     return df.select(*(F.when(F.isnan(col(f.name)), None).otherwise(col(f.name)).alias(f.name) if is_float(f.dataType) else col(f.name) for f in df.schema))
 
 
+#: English month names by their first letters, and what follows these in the names.
+MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+_MONTH = r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\.?"
+_WEEKDAY = r"^(?:mon|tues?|wed(?:nes)?|thu(?:rs?)?|fri|sat(?:ur)?|sun)(?:day)?\.?,?\s+"
+#: A time at the end, told by a colon or a half of the day: hour, minute, second, half. Fractions and offsets are read over.
+_TIME = r"(?:^|[\st,]+)(?:at\s+)?(?=\d{1,2}(?::\d{2}|\s*[ap]\.?m\b))(\d{1,2})(?::(\d{2})(?::(\d{2})(?:[.,]\d{1,9})?)?)?\s*(?:([ap])\.?m\.?)?\s*(?:z|utc|gmt|(?:utc|gmt)?[+-]\d{2}:?(?:\d{2})?)?$"
+_ORDINAL, _REST = r"(?:st|nd|rd|th)?", r"(?:\s+(?:utc|gmt))?((?:~.*)?)$"
+#: Shapes of a date, each with how year, month and day follow from its groups.
+_DATE_SHAPES = (
+    (rf"^(\d{{1,2}}){_ORDINAL}[\s./-]*(?:of\s+)?{_MONTH}[\s,./-]*(\d{{4}}|\d{{2}}){_REST}", "$3~$2~$1~$4"),
+    (rf"^{_MONTH}[\s./-]*(\d{{1,2}}){_ORDINAL}[\s,./-]+(\d{{4}}){_REST}", "$3~$1~$2~$4"),
+    (rf"^(\d{{4}})[\s,./-]*{_MONTH}[\s./-]*(\d{{1,2}}){_REST}", "$1~$2~$3~$4"),
+    (rf"^{_MONTH}[\s,./-]*(\d{{4}}){_REST}", "$2~$1~1~$3"),
+    (rf"^(\d{{4}})[./-](\d{{1,2}})[./-](\d{{1,2}}){_REST}", "$1~$2~$3~$4"),
+    (rf"^(1[3-9]|2\d|3[01])[./-](\d{{1,2}})[./-](\d{{4}}|\d{{2}}){_REST}", "$3~$2~$1~$4"),
+    (rf"^(\d{{1,2}})[./-](\d{{1,2}})[./-](\d{{4}}|\d{{2}}){_REST}", "$3~$1~$2~$4"),
+    (rf"^(\d{{4}})(\d{{2}})(\d{{2}}){_REST}", "$1~$2~$3~$4"),
+)
+
+
+def written_datetime(value: Column) -> Column:
+    """The time in a written form, or NULL: month names, weekdays, ordinals, AM and PM, offsets (the time on the clock
+    there counts), years of two digits (69 is 1969), and dates without separators. Where both could be meant, the month comes first.
+    A chain of replacements brings every form to year~month~day~~hour~minute~second~half, which is taken apart once."""
+    text = F.regexp_replace(F.lower(F.trim(value.cast("string"))), "~", " ")
+    text = F.regexp_replace(F.regexp_replace(text, _WEEKDAY, ""), _TIME, "~$1~$2~$3~$4")
+    for shape, form in _DATE_SHAPES:
+        text = F.regexp_replace(text, shape, form)
+
+    def made(p: Column) -> Column:
+        number = lambda i: F.get(p, i).try_cast("int")
+        year, clock, half = number(0), number(4), F.coalesce(F.get(p, 7), F.lit(""))
+        year = F.when(F.length(F.get(p, 0)) == 2, year + F.when(year >= 69, 1900).otherwise(2000)).otherwise(year)
+        month = F.coalesce(number(1), ((F.instr(F.lit(MONTHS), F.substring(F.get(p, 1), 1, 3)) + 2) / 3).cast("int"))
+        hour = F.when(F.size(p) < 5, 0).when(half == "", clock).when(clock.between(1, 12), clock % 12 + F.when(half == "p", 12).otherwise(0))
+        return F.try_make_timestamp_ntz(year, month, number(2), hour, F.coalesce(number(5), F.lit(0)), F.coalesce(number(6), F.lit(0)).cast("decimal(8,6)"))
+
+    return F.get(F.transform(F.array(F.split(text, "~")), made), 0)
+
+
 def parse_datetime(value: Column) -> Column:
-    """The time that a string names, or NULL: the first format that fits."""
+    """The time that a string names, or NULL: the first format that fits, else the written form."""
     text = F.trim(value.cast("string"))
     tries = [F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS]
-    return F.coalesce(F.expr("NULL").cast("timestamp"), *tries, text.try_cast("timestamp"))
+    return F.coalesce(F.expr("NULL").cast("timestamp"), *tries, written_datetime(text).cast("timestamp"), F.when(text.rlike(r"\d{4}"), text.try_cast("timestamp")))
 
 
 def as_datetime(value: Column, kind: T.DataType) -> Column:

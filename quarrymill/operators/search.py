@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+import threading
+import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -25,6 +28,7 @@ class TrialResult:
     params: dict
     cv_score: float
     metrics: dict[str, float] = field(default_factory=dict)
+    pruned: bool = False
 
 
 @dataclass
@@ -42,8 +46,8 @@ class HPOResult:
 
 
 def best_of(trials: list[TrialResult]) -> TrialResult:
-    """The trial with the highest score, the earliest of several; scores that are no finite numbers don't count."""
-    scored = [t for t in trials if math.isfinite(t.cv_score)]
+    """The trial with the highest score, the earliest of several; pruned ones and scores that are no finite numbers don't count."""
+    scored = [t for t in trials if math.isfinite(t.cv_score) and not t.pruned]
     if not scored:
         raise RuntimeError("No trial has a score.")
     return max(scored, key=lambda t: (t.cv_score, -t.trial_number))
@@ -113,11 +117,59 @@ class TPESampler(RandomSampler):
         return int(min(high, max(low, round(value)))) if kind == "int" else min(high, max(low, value))
 
 
+class MedianPruner:
+    """A trial has no hope if the best running mean of its folds so far lies below the median of what whole trials had
+    after as many folds. The first `startup` whole trials and the first `warmup` folds are not judged."""
+
+    def __init__(self, startup: int = 5, warmup: int = 0):
+        self.startup, self.warmup = startup, warmup
+
+    def hopeless(self, means: list[float], past: list[list[float]]) -> bool:
+        step = len(means) - 1
+        others = [p[step] for p in past if len(p) > step and math.isfinite(p[step])]
+        if len(past) < self.startup or step < self.warmup or not others:
+            return False
+        mine = [m for m in means if math.isfinite(m)]
+        return not mine or max(mine) < float(np.median(others))
+
+
+def run_folds(spark, score: Callable[[int], float], folds: int, threads: int, pruner: MedianPruner | None = None, past: list[list[float]] | None = None) -> tuple[list[float], bool]:
+    """(scores of the folds, whether the trial was pruned). Up to `threads` folds run at the same time. A pruner sees the
+    running means in order of the folds; once it gives up, the jobs of the folds that still run are cancelled by
+    their group, and the scores are those of the folds it has seen."""
+    group, stop = f"folds-{uuid.uuid4().hex}", threading.Event()
+    context = spark.sparkContext
+
+    def run(fold: int) -> float:
+        if stop.is_set():
+            raise InterruptedError
+        context.setJobGroup(group, f"fold {fold}")
+        return score(fold)
+
+    with ThreadPoolExecutor(max(1, min(folds, threads))) as pool:
+        waiting = [pool.submit(inheritable_thread_target(spark)(run), f) for f in range(folds)]
+        scores: list[float] = []
+        means: list[float] = []
+        try:
+            for w in waiting:
+                scores.append(w.result())
+                means.append(float(np.mean(scores)))
+                if pruner and len(scores) < folds and pruner.hopeless(means, past or []):
+                    return scores, True
+        finally:
+            if len(scores) < folds:
+                stop.set()
+                for w in waiting:
+                    w.cancel()
+                context._jsc.sc().cancelJobGroupAndFutureJobs(group)
+    return scores, False
+
+
 class HPOEngine:
     """Draws trials, scores each on the folds of the training part, and fits the best again on that part.
 
     max_trees caps the trees of every model, and refit_trials fits each trial once more for the tracker: both change the
-    cost only where they are set."""
+    cost only where they are set. pruner: ends hopeless trials early; without one every trial runs all folds."""
 
     def __init__(
         self,
@@ -133,12 +185,13 @@ class HPOEngine:
         max_trees: int | None = None,
         refit_trials: bool = False,
         fold_threads: int = 4,
+        pruner: MedianPruner | None = None,
     ):
         self.task_type, self.metric = task_type, metric or ("roc_auc" if task_type == "classification" else "r2")
         self.n_trials, self.cv_folds, self.test_size, self.random_state = n_trials, cv_folds, test_size, random_state
         self.model_families, self.tracker = model_families, tracker
         self.sampler = sampler or TPESampler(random_state)
-        self.max_trees, self.refit_trials, self.fold_threads = max_trees, refit_trials, fold_threads
+        self.max_trees, self.refit_trials, self.fold_threads, self.pruner = max_trees, refit_trials, fold_threads, pruner
         if self.metric not in M.SCORERS:
             raise ValueError(f"unknown metric {self.metric!r}; there are {', '.join(M.SCORERS)}")
         self.trials: list[TrialResult] = []
@@ -175,19 +228,22 @@ class HPOEngine:
         test = test.persist()
         try:
             history: list[tuple[str, dict, float]] = []
+            past: list[list[float]] = []  # running means of whole trials
             for number in range(self.n_trials):
                 family, drawn = self._suggest(families, history)
                 params = models.resolved(family, drawn)
                 estimator = models.build(family, params, self.task_type, classes, self.random_state, self.max_trees)
-                scores = self._fold_scores(estimator, train, k, classes)
+                scores, pruned = self._fold_scores(estimator, train, k, classes, past)
                 mean, deviation = float(np.mean(scores)), float(np.std(scores))
-                trial = TrialResult(number, family, params, mean, {"cv_mean": mean, "cv_std": deviation})
+                trial = TrialResult(number, family, params, mean, {"cv_mean": mean, "cv_std": deviation}, pruned)
                 self.trials.append(trial)
-                if math.isfinite(mean):  # a trial without a score teaches the sampler nothing
+                if not pruned:
+                    past.append([float(np.mean(scores[: i + 1])) for i in range(len(scores))])
+                if math.isfinite(mean) and not pruned:  # a trial without a score teaches the sampler nothing
                     history.append((family, drawn, mean))
                 if self.tracker:
-                    fitted = estimator.fit(train) if self.refit_trials else None
-                    self.tracker.log_trial(trial_number=number, model_family=family, params={"model_family": family, **params}, metrics=trial.metrics, model=fitted, feature_names=names, tags={"metric": self.metric})
+                    fitted = estimator.fit(train) if self.refit_trials and not pruned else None
+                    self.tracker.log_trial(trial_number=number, model_family=family, params={"model_family": family, **params}, metrics=trial.metrics, model=fitted, feature_names=names, tags={"metric": self.metric, "state": "pruned" if pruned else "complete"})
             best = best_of(self.trials)
             model = models.build(best.model_family, best.params, self.task_type, classes, self.random_state, self.max_trees).fit(train)
             test_metrics = self.evaluate(model, test, classes)
@@ -198,15 +254,12 @@ class HPOEngine:
             test.unpersist()
         return HPOResult(model, best.model_family, {"model_family": best.model_family, **best.params}, best.cv_score, self.metric, self.task_type, self.trials, names, labels, test_metrics)
 
-    def _fold_scores(self, estimator, train: DataFrame, folds: int, classes: int) -> list[float]:
-        """The folds' scores; `fold_threads` folds are fitted at the same time, as their jobs don't depend on each other."""
-
+    def _fold_scores(self, estimator, train: DataFrame, folds: int, classes: int, past: list[list[float]]) -> tuple[list[float], bool]:
         def score(fold: int) -> float:
             model = estimator.fit(train.where(F.col("fold") != fold))
             return self._score(model, train.where(F.col("fold") == fold), classes)
 
-        with ThreadPoolExecutor(max(1, min(folds, self.fold_threads))) as pool:
-            return list(pool.map(inheritable_thread_target(train.sparkSession)(score), range(folds)))
+        return run_folds(train.sparkSession, score, folds, self.fold_threads, self.pruner, past)
 
     def _score(self, model, part: DataFrame, classes: int) -> float:
         out = models.predictions(model, part, classes).withColumn("y", F.col("label"))

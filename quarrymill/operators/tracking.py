@@ -1,12 +1,19 @@
-"""A run store of append-only Parquet tables: runs, params, metrics, tags, artifacts; models lie beside them."""
+"""A run store of append-only Parquet tables: runs, params, metrics, tags, artifacts; models lie beside them.
+
+Version numbers are claimed before they are written: a writer makes a file named by the number, which exactly one can, and
+takes the next number if it comes second. A writer that ends in between leaves a gap, no double.
+"""
 
 from __future__ import annotations
 
 import math
+import os
 import time
 import uuid
 from dataclasses import dataclass, field
+from urllib.parse import quote, unquote, urlparse
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,16 +51,41 @@ class Store:
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
         if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
             return empty
-        return self.spark.read.schema(empty.schema).parquet(f"{self.path}/{table}")
+        return self.spark.read.schema(empty.schema).option("recursiveFileLookup", "true").parquet(f"{self.path}/{table}")
 
     def append(self, table: str, rows: list[tuple]) -> None:
+        """Each call writes a folder of its own: writers at the same time don't share a commit."""
         if rows:
-            self.spark.createDataFrame(rows, TABLES[table]).coalesce(1).write.mode("append").parquet(f"{self.path}/{table}")
+            self.spark.createDataFrame(rows, TABLES[table]).coalesce(1).write.parquet(f"{self.path}/{table}/{uuid.uuid4().hex}")
+
+    def claim(self, folder: str, number: int) -> bool:
+        """Whether this writer is the one that made the file for a number: made only if it isn't there, in one step (by the
+        operating system on local paths, else by the file system; HDFS and its like do it atomically)."""
+        where = f"{folder}/{number:010d}"
+        parts = urlparse(where)
+        if parts.scheme in ("file", ""):
+            local = unquote(parts.path)
+            os.makedirs(os.path.dirname(local), exist_ok=True)
+            try:
+                os.close(os.open(local, os.O_CREAT | os.O_EXCL))
+            except FileExistsError:
+                return False
+            return True
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
+        try:
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(path, False).close()
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" in str(e.java_exception) or "already exists" in str(e.java_exception):
+                return False
+            raise
+        return True
 
     def add_version(self, name: str, run_id: str, uri: str) -> int:
-        """The next version of a registered model."""
+        """The next version of a registered model; of several writers at a time, each gets its own."""
         newest = self.read("model_versions").where(F.col("name") == name).agg(F.max("version")).first()[0]
         version = (newest or 0) + 1
+        while not self.claim(f"{self.path}/claims/{quote(name, safe='')}", version):
+            version += 1
         self.append("model_versions", [(name, version, run_id, uri, time.time())])
         return version
 
@@ -91,8 +123,7 @@ class TrackingStore:
             return RunRecord(None)
         self.setup()
         run_id = self.start(f"trial-{trial_number}", self.parent)
-        lost = {"not_translated": ", ".join(models.LOST.get(model_family, []))}
-        self.log(run_id, params, metrics, {"trial_number": trial_number, "model_family": model_family, **lost, **(tags or {})})
+        self.log(run_id, params, metrics, {"trial_number": trial_number, "model_family": model_family, **(tags or {})})
         record = RunRecord(run_id)
         if model is not None:
             record.model_uri = self.save(model, run_id)
