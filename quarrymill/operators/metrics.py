@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stats import medians
+
 MAX_LABELS = 20
 #: Every one is larger for better models.
 SCORERS = (
-    "accuracy", "f1_weighted", "precision_weighted", "recall_weighted", "roc_auc", "roc_auc_ovr_weighted", "r2",
-    "neg_mean_squared_error", "neg_root_mean_squared_error", "neg_mean_absolute_error", "neg_log_loss",
+    "accuracy", "balanced_accuracy", "f1", "precision", "recall", *(f"{m}_{how}" for m in ("f1", "precision", "recall") for how in ("weighted", "macro", "micro")),
+    "matthews_corrcoef", "roc_auc", "roc_auc_ovr_weighted", "average_precision", "neg_log_loss", "neg_brier_score",
+    "r2", "explained_variance", "neg_max_error", "neg_mean_squared_error", "neg_root_mean_squared_error", "neg_mean_absolute_error",
+    "neg_median_absolute_error", "neg_mean_absolute_percentage_error", "neg_mean_squared_log_error", "neg_root_mean_squared_log_error",
 )
 
 
@@ -37,11 +41,7 @@ def confusion_matrix(df: DataFrame, dense: bool = True) -> DataFrame:
 
 def classification_metrics(df: DataFrame) -> DataFrame:
     """test_accuracy and test_precision, test_recall, test_f1, weighted by support; 0/0 is 0."""
-    counts = df.groupBy("y", "p").agg(F.count(F.lit(1)).alias("n"))
-    each = counts.select(F.explode(F.array(
-        F.struct(F.col("y").alias("label"), F.col("n").alias("support"), F.lit(0).cast("long").alias("said"), F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0).alias("hit")),
-        F.struct(F.col("p").alias("label"), F.lit(0).cast("long").alias("support"), F.col("n").alias("said"), F.lit(0).cast("long").alias("hit")),
-    )).alias("r")).select("r.*").groupBy("label").agg(F.sum("support").alias("support"), F.sum("said").alias("said"), F.sum("hit").alias("hit"))
+    each = class_figures(df)
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     precision, recall = ratio(F.col("hit"), F.col("said")), ratio(F.col("hit"), F.col("support"))
     f1 = ratio(2 * F.col("hit"), F.col("said") + F.col("support"))
@@ -66,6 +66,62 @@ def _area(points: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def average_precision(df: DataFrame, positive) -> DataFrame:
+    """average_precision of (y, score): the mean over the positives of the precision among all rows with at least their
+    score. Running sums from the largest score down are taken over ranges, with the totals of the ranges above added; NULL
+    without a positive."""
+    hit = (F.col("y") == F.lit(positive)).cast("long")
+    points = df.select((-F.col("score")).alias("lower"), hit.alias("pos")).groupBy("lower").agg(F.sum("pos").alias("pos"), F.count(F.lit(1)).alias("n"))
+    placed = points.repartitionByRange("lower").withColumn("part", F.spark_partition_id()).persist()
+    try:
+        sums = placed.groupBy("part").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n")).orderBy("part").collect()  # one row a range
+        before, starts = (0, 0), []
+        for r in sums:
+            starts.append((r.part, *before))
+            before = before[0] + r.pos, before[1] + r.n
+        offsets = F.broadcast(df.sparkSession.createDataFrame(starts, "part int, pos_above long, n_above long"))
+        upto = Window.partitionBy("part").orderBy("lower").rowsBetween(Window.unboundedPreceding, 0)
+        share = (F.col("pos_above") + F.sum("pos").over(upto)) / (F.col("n_above") + F.sum("n").over(upto))
+        each = placed.join(offsets, "part").select("pos", share.alias("precision"))
+        value = each.agg(F.when(F.sum("pos") > 0, F.sum(F.col("pos") * F.col("precision")) / F.sum("pos")).alias("average_precision")).first()[0]
+    finally:
+        placed.unpersist()
+    return df.sparkSession.createDataFrame([(value,)], "average_precision double")
+
+
+def error_metrics(df: DataFrame) -> DataFrame:
+    """Further figures of errors: explained variance, the largest, the median (exact, by counts) and the relative error, and
+    the squared error of logarithms (NULL if a value is below zero)."""
+    y, p = F.col("y").cast("double"), F.col("p").cast("double")
+    logs = F.when((F.min(y) >= 0) & (F.min(p) >= 0), F.avg((F.log1p(F.greatest(y, F.lit(0.0))) - F.log1p(F.greatest(p, F.lit(0.0)))) ** 2))
+    r = df.agg(F.var_pop(y - p).alias("left"), F.var_pop(y).alias("all"), F.max(F.abs(y - p)).alias("most"), F.avg(F.abs(y - p) / F.greatest(F.abs(y), F.lit(2.0**-52))).alias("share"), logs.alias("logs")).first()
+    explained = None if r.left is None else 1 - r.left / r["all"] if r["all"] else float(r.left == 0)
+    return df.sparkSession.createDataFrame([(explained, r.most, medians(df, {"e": F.abs(y - p)})["e"], r.share, r.logs)], "explained_variance double, max_error double, median_absolute_error double, mean_absolute_percentage_error double, mean_squared_log_error double")
+
+
+def class_figures(df: DataFrame) -> DataFrame:
+    """(label, support, said, hit) of each label that occurs."""
+    counts = df.groupBy("y", "p").agg(F.count(F.lit(1)).alias("n"))
+    both = F.array(
+        F.struct(F.col("y").alias("label"), F.col("n").alias("support"), F.lit(0).cast("long").alias("said"), F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0).alias("hit")),
+        F.struct(F.col("p").alias("label"), F.lit(0).cast("long").alias("support"), F.col("n").alias("said"), F.lit(0).cast("long").alias("hit")),
+    )
+    return counts.select(F.explode(both).alias("r")).select("r.*").groupBy("label").agg(F.sum("support").alias("support"), F.sum("said").alias("said"), F.sum("hit").alias("hit"))
+
+
+def averaged_metrics(df: DataFrame) -> DataFrame:
+    """Balanced accuracy, Matthews' correlation, and precision, recall and F1 as means over labels and over all rows."""
+    r = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    hit, said, support = F.col("hit"), F.col("said").cast("double"), F.col("support").cast("double")
+    n, all_hit = F.sum(support), F.sum(hit)
+    spread = F.sqrt((n * n - F.sum(said * said)) * (n * n - F.sum(support * support)))
+    macro = {"precision": r(hit, said), "recall": r(hit, support), "f1": r(2 * hit, said + support)}
+    return class_figures(df).agg(
+        F.avg(F.when(support > 0, hit / support)).alias("balanced_accuracy"), F.when(spread > 0, (all_hit * n - F.sum(said * support)) / spread).otherwise(0.0).alias("matthews_corrcoef"),
+        *(F.avg(v).alias(f"{k}_macro") for k, v in macro.items()), *((all_hit / n).alias(f"{k}_micro") for k in macro),
+    )
+
+
 def roc_auc(df: DataFrame, positive) -> DataFrame:
     """test_roc_auc of (y, score); NULL if one class is missing."""
     hit = (F.col("y") == F.lit(positive)).cast("long")
@@ -86,6 +142,20 @@ def scored(df: DataFrame, metric: str, labels: list | None = None) -> float:
     if metric in ("r2", "neg_mean_squared_error", "neg_root_mean_squared_error", "neg_mean_absolute_error"):
         r = regression_metrics(df).first()
         return {"r2": r.test_r2, "neg_root_mean_squared_error": -r.test_rmse, "neg_mean_squared_error": -(r.test_rmse**2), "neg_mean_absolute_error": -r.test_mae}[metric]
+    errors = {"explained_variance": 1, "neg_max_error": -1, "neg_median_absolute_error": -1, "neg_mean_absolute_percentage_error": -1, "neg_mean_squared_log_error": -1, "neg_root_mean_squared_log_error": -1}
+    if metric in errors:
+        value = error_metrics(df).first()[metric.removeprefix("neg_").replace("root_", "")]
+        return None if value is None else errors[metric] * (value**0.5 if "root_" in metric else value)
+    if metric in ("f1", "precision", "recall"):  # of the second label
+        r = class_figures(df).where(F.col("label") == F.lit(labels[1])).first()
+        top, below = (2 * r.hit, r.said + r.support) if r and metric == "f1" else (r.hit, r.said if metric == "precision" else r.support) if r else (0, 0)
+        return top / below if below else 0.0
+    if metric in ("balanced_accuracy", "matthews_corrcoef") or metric.endswith(("_macro", "_micro")):
+        return averaged_metrics(df).first()[metric]
+    if metric == "average_precision":
+        return average_precision(df.select("y", F.get("scores", 1).alias("score")), labels[1]).first()[0]
+    if metric == "neg_brier_score":
+        return df.agg(-F.avg((F.get("scores", 1) - (F.col("y") == F.lit(labels[1])).cast("double")) ** 2)).first()[0]
     if metric == "neg_log_loss":
         right = F.lit(None)
         for i, k in enumerate(labels):

@@ -3,26 +3,24 @@ none, in the same way on both sides; floating-point results are rounded on both
 
 from __future__ import annotations
 
-import atexit
 import math
-import re
-import shutil
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import col, flatten_params, normalize_missing
+from ..functions.columns import col, date_parts, flatten_params, normalize_missing, parse_datetime
 from ..operators import metrics as M
 from ..operators import models
 from ..operators.automl import run_automl
 from ..operators.features import AutoFeatureEngineer, array_features
 from ..operators.preprocess import AutoPreprocessor, date_shares, drop_missing_target, infer_schema, split_features_target
 from ..operators.registry import latest_version, resolve_uri, version_by_run
+from ..operators.scratch import fresh
 from ..operators.search import HPOEngine, RandomSampler, trials_frame
 from ..operators.split import assign_folds, detect_task_type, fold_count, holdout
-from ..sources.readers import from_rows, read_csv
+from ..operators.trees import feature_cuts
+from ..sources import excel
+from ..sources.readers import MISSING, from_rows, read_csv
 from ..streaming.scoring import transform_stream, write_available
 
 QUERIES: dict = {}
@@ -43,17 +41,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; a local session without one gets a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if base is None:
-        base = f"file://{tempfile.mkdtemp(prefix='quarrymill-')}"
-        atexit.register(shutil.rmtree, base.removeprefix("file://"), ignore_errors=True)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*(F.round(col(c), digits).alias(c) if k == "double" else col(c) for c, k in df.dtypes))
 
@@ -90,7 +77,7 @@ def normalize_missing_counts(spark, sf):
 
 @query("SELECT event_id, ts, user_id, event_type, value, props FROM events")
 def csv_scan(spark, sf):
-    events, path = table(spark, sf, "events"), scratch(spark, "events-csv")
+    events, path = table(spark, sf, "events"), fresh(spark, "events-csv")
     events.write.option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path, header=True, escape='"')
     found = read_csv(spark, path)
     return found.withColumn("ts", F.to_timestamp_ntz("ts"))
@@ -341,6 +328,24 @@ def rfe_select(spark, sf):
     return spark.createDataFrame([(n,) for n in made.get_feature_names_out()], "feature string")
 
 
+_FORMS = ["MMMM d, yyyy h:mm a", "d MMM yyyy HH:mm:ss", "EEE, dd MMM yyyy HH:mm:ss '+0100'", "yyyy-MM-dd hh:mm:ss a", "MMM-dd-yyyy 'at' h:mma", "yyyy/MM/dd'T'HH:mm:ss.SSS'Z'", "yyyyMMdd HH:mm", "EEEE, MMMM d yyyy 'UTC'"]
+
+
+@query(f"""
+WITH w AS (SELECT o_orderkey, o_orderkey % {len(_FORMS)} AS form, o_orderdate + to_minutes(o_orderkey * 7 % 1440) AS t FROM orders)
+SELECT o_orderkey, CAST(year(t) AS DOUBLE) AS year, CAST(month(t) AS DOUBLE) AS month, CAST(day(t) AS DOUBLE) AS day, CAST(isodow(t) - 1 AS DOUBLE) AS dayofweek,
+  CASE WHEN form = {len(_FORMS) - 1} THEN 0.0 ELSE CAST(hour(t) AS DOUBLE) END AS hour FROM w
+""")
+def written_dates(spark, sf):
+    """The parts of dates that are written in eight forms, each row in one."""
+    orders = table(spark, sf, "orders")
+    t = F.col("o_orderdate").cast("timestamp") + F.make_interval(mins=(F.col("o_orderkey") * 7 % 1440).cast("int"))
+    form = F.col("o_orderkey") % len(_FORMS)
+    text = F.coalesce(*(F.when(form == i, F.date_format(t, f)) for i, f in enumerate(_FORMS)))
+    parts = date_parts("d", parse_datetime(F.col("text")))
+    return orders.select("o_orderkey", text.alias("text")).select("o_orderkey", *(v.alias(k.removeprefix("__dt_d_")) for k, v in parts.items()))
+
+
 # Splits
 
 
@@ -519,6 +524,56 @@ def registry_version_by_run(spark, sf):
     return version_by_run(versions, versions.agg(F.min("run_id")).first()[0])
 
 
+_POINTS = "SELECT o_orderkey, o_orderpriority = '1-URGENT' AS pos, round(o_totalprice, -3) AS score FROM orders"
+
+
+@query(f"""
+WITH r AS ({_POINTS}), g AS (SELECT score, count(*) FILTER (WHERE pos) AS pos, count(*) AS n FROM r GROUP BY 1),
+s AS (SELECT pos, sum(pos) OVER w / CAST(sum(n) OVER w AS DOUBLE) AS precision FROM g WINDOW w AS (ORDER BY score DESC))
+SELECT round(sum(pos * precision) / sum(pos), 6) AS average_precision FROM s
+""")
+def average_precision(spark, sf):
+    orders = table(spark, sf, "orders")
+    score = F.round("o_totalprice", -3)
+    return rounded(M.average_precision(orders.select((F.col("o_orderpriority") == "1-URGENT").cast("int").alias("y"), score.alias("score")), 1))
+
+
+@query("""
+WITH e AS (SELECT l_extendedprice AS y, 1500 * l_quantity AS p FROM lineitem)
+SELECT round(1 - var_pop(y - p) / var_pop(y), 6) AS explained_variance, round(max(abs(y - p)), 4) AS max_error, round(median(abs(y - p)), 4) AS median_absolute_error,
+       round(avg(abs(y - p) / greatest(abs(y), power(CAST(2 AS DOUBLE), -52))), 6) AS mean_absolute_percentage_error, round(avg(power(ln(1 + y) - ln(1 + p), 2)), 6) AS mean_squared_log_error FROM e
+""")
+def error_metrics(spark, sf):
+    found = M.error_metrics(table(spark, sf, "lineitem").select(F.col("l_extendedprice").alias("y"), (1500 * F.col("l_quantity")).alias("p")))
+    return found.select(*(F.round(c, 4 if c in ("max_error", "median_absolute_error") else 6).alias(c) for c in found.columns))
+
+
+@query(f"""
+WITH r AS ({_RULE}), l AS (SELECT y AS k FROM r UNION SELECT p FROM r),
+c AS (SELECT k, CAST(count(*) FILTER (WHERE y = k) AS DOUBLE) AS s, CAST(count(*) FILTER (WHERE p = k) AS DOUBLE) AS d, count(*) FILTER (WHERE y = k AND p = k) AS h FROM l, r GROUP BY k)
+SELECT round(avg(h / s) FILTER (WHERE s > 0), 6) AS balanced_accuracy, round((sum(h) * sum(s) - sum(d * s)) / sqrt((sum(s) * sum(s) - sum(d * d)) * (sum(s) * sum(s) - sum(s * s))), 6) AS matthews_corrcoef,
+       round(avg(coalesce(h / nullif(d, 0), 0)), 6) AS precision_macro, round(avg(coalesce(h / nullif(s, 0), 0)), 6) AS recall_macro, round(avg(coalesce(2 * h / nullif(d + s, 0), 0)), 6) AS f1_macro,
+       round(sum(h) / sum(s), 6) AS precision_micro, round(sum(h) / sum(s), 6) AS recall_micro, round(sum(h) / sum(s), 6) AS f1_micro FROM c
+""")
+def averaged_metrics(spark, sf):
+    return rounded(M.averaged_metrics(_rule(spark, sf)))
+
+
+@query("SELECT CAST(c_custkey AS BIGINT) AS c_custkey, CASE WHEN c_custkey % 10 = 3 THEN NULL ELSE c_name END AS c_name, c_acctbal, c_mktsegment, c_acctbal > 0 AS owes FROM customer")
+def excel_scan(spark, sf):
+    """Customers as workbooks, one for each partition of 20,000 rows or so, read again as one frame."""
+    rows = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 10 != 3, F.col("c_name")).alias("c_name"), "c_acctbal", "c_mktsegment", (F.col("c_acctbal") > 0).alias("owes"))
+
+    def books(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            content = excel.workbook(b.schema.names, zip(*(c.to_pylist() for c in b.columns)))
+            yield pa.RecordBatch.from_arrays([pa.array([f"{b.column(0)[0]}"]), pa.array([content])], names=["path", "content"])
+
+    return excel.frame(rows.mapInArrow(books, "path string, content binary"), MISSING)
+
+
 # Streams
 
 
@@ -527,12 +582,12 @@ def stream_scoring(spark, sf):
     orders = table(spark, sf, "orders").select("o_totalprice", "o_orderdate", "o_orderpriority")
     made = AutoPreprocessor().fit(orders)
     days = AutoPreprocessor(scaling="none").fit(orders.select("o_orderdate"))
-    source, out = scratch(spark, "stream-in"), scratch(spark, "stream-out")
+    source, out = fresh(spark, "stream-in"), fresh(spark, "stream-out")
     orders.write.parquet(source)
     stream = spark.readStream.schema(orders.schema).parquet(source)
     stream = transform_stream(made, stream.withColumn("day", F.col("o_orderdate")), keep=["o_orderdate"])
     stream = stream.withColumn("weekday", transform_expression(days, "__dt_o_orderdate_dayofweek"))
-    write_available(stream, out, scratch(spark, "stream-state")).awaitTermination()
+    write_available(stream, out, fresh(spark, "stream-state")).awaitTermination()
     deviation = made.state["numeric"][0][3]
     return spark.read.parquet(out).agg(F.count(F.lit(1)).alias("n"), F.sum("weekday").alias("days"), F.round(F.sum(F.col("o_totalprice") + 1000 / deviation), 4).alias("price"), F.sum(col("o_orderpriority_1-URGENT")).alias("urgent"))
 
@@ -551,28 +606,74 @@ def transform_expression(made: AutoPreprocessor, feature: str):
 # Models and search: rows only, as no SQL trains them
 
 
-def _trained(spark, sf, family: str) -> DataFrame:
+def _trained(spark, sf, family: str, params: dict) -> DataFrame:
     rows = _order_features(spark, sf)
-    params = {"n_estimators": 10, "max_depth": 5, "min_samples_split": 2, "min_samples_leaf": 2} if family == "random_forest" else {"n_estimators": 5, "max_depth": 3, "learning_rate": 0.1, "subsample": 0.8, "colsample_bytree": 0.8, "reg_alpha": 0.1}
     from ..operators.features import assemble
 
     labels = models.Labels.of(rows, "o_orderstatus")
     names = [c for c in rows.columns if c not in ("o_orderkey", "o_orderstatus")]
-    part = holdout(rows.withColumn("label", labels.encode(F.col("o_orderstatus"))), "o_orderkey", "o_orderstatus")
-    vectors = assemble(part, names, ["o_orderkey", "label", "is_test"]).persist()
+    part = holdout(rows.withColumn("label", labels.encode(F.col("o_orderstatus"))).withColumnRenamed("o_orderkey", "key"), "key", "o_orderstatus")
+    vectors = assemble(part, names, ["key", "label", "is_test"]).persist()
     model = models.build(family, params, "classification", len(labels.values)).fit(vectors.where("not is_test"))
     out = models.predictions(model, vectors.where("is_test"), len(labels.values))
-    return out.select("o_orderkey", labels.decode(F.col("label")).alias("y"), labels.decode(F.col("p")).alias("prediction"))
+    return out.select(F.col("key").alias("o_orderkey"), labels.decode(F.col("label")).alias("y"), labels.decode(F.col("p")).alias("prediction"))
 
 
 @query()
 def rf_train_predict(spark, sf):
-    return _trained(spark, sf, "random_forest")
+    return _trained(spark, sf, "random_forest", {"n_estimators": 10, "max_depth": 5, "min_samples_split": 2, "min_samples_leaf": 2})
+
+
+@query()
+def deep_forest_predict(spark, sf):
+    """Without a limit of depth, and with a minimum size of splits."""
+    return _trained(spark, sf, "random_forest", {"n_estimators": 5, "max_depth": None, "min_samples_split": 20, "min_samples_leaf": 2})
 
 
 @query()
 def gbt_train_predict(spark, sf):
-    return _trained(spark, sf, "xgboost")
+    """Three classes under one softmax loss, with L1, row and column samples."""
+    return _trained(spark, sf, "xgboost", {"n_estimators": 8, "max_depth": 4, "learning_rate": 0.3, "subsample": 0.8, "colsample_bytree": 0.8, "reg_alpha": 0.1})
+
+
+@query()
+def leafwise_train_predict(spark, sf):
+    return _trained(spark, sf, "lightgbm", {"n_estimators": 5, "num_leaves": 15, "learning_rate": 0.3, "min_child_samples": 20, "feature_fraction": 0.8})
+
+
+_CUT_FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+_CUT_ROWS = " UNION ALL ".join(f"SELECT '{f}' AS feature, CAST({f} AS DOUBLE) AS x, {{0}} FROM lineitem" for f in _CUT_FEATURES)
+
+
+@query(f"""
+WITH m AS (SELECT avg(l_extendedprice) AS mean, var_pop(l_extendedprice) * count(*) AS whole FROM lineitem),
+r AS ({_CUT_ROWS.format("l_extendedprice AS y")}),
+v AS (SELECT feature, x, count(*) AS n, sum(mean - y) AS g FROM r, m GROUP BY 1, 2),
+c AS (SELECT feature, x, lead(x) OVER w AS after, sum(n) OVER w AS ln, sum(g) OVER w AS lg, sum(n) OVER (PARTITION BY feature) AS n, sum(g) OVER (PARTITION BY feature) AS g FROM v WINDOW w AS (PARTITION BY feature ORDER BY x)),
+s AS (SELECT feature, (x + after) / 2 AS threshold, lg * lg / (ln + 1) + (g - lg) * (g - lg) / (n - ln + 1) - g * g / (n + 1) AS gain FROM c WHERE after IS NOT NULL)
+SELECT feature, round(arg_max(threshold, gain), 6) AS threshold, round(max(gain) / any_value(whole), 6) AS share FROM s, m GROUP BY 1 HAVING max(gain) > 0
+""")
+def boosted_root_cuts(spark, sf):
+    """The cut that each feature offers the first tree of a booster, and the share of the squared error that it takes away."""
+    rows = table(spark, sf, "lineitem").select("l_extendedprice", *_CUT_FEATURES)
+    whole = rows.agg(F.var_pop("l_extendedprice") * F.count(F.lit(1))).first()[0]
+    return feature_cuts(rows, _CUT_FEATURES, "l_extendedprice").select("feature", F.round("threshold", 6).alias("threshold"), F.round(F.col("gain") * 2 / whole, 6).alias("share"))
+
+
+@query(f"""
+WITH r AS ({_CUT_ROWS.format("l_returnflag AS y")}), k AS (SELECT DISTINCT l_returnflag AS y FROM lineitem), f AS (SELECT DISTINCT feature, x FROM r),
+v AS (SELECT f.feature, f.x, k.y, count(r.y) AS n FROM f CROSS JOIN k LEFT JOIN r ON r.feature = f.feature AND r.x = f.x AND r.y = k.y GROUP BY 1, 2, 3),
+c AS (SELECT feature, x, y, sum(n) OVER (PARTITION BY feature, y ORDER BY x) AS l, sum(n) OVER (PARTITION BY feature, y) AS t FROM v),
+s AS (SELECT feature, x, sum(l * l) / CAST(sum(l) AS DOUBLE) + sum((t - l) * (t - l)) / nullif(CAST(sum(t - l) AS DOUBLE), 0) - sum(t * t) / CAST(sum(t) AS DOUBLE) AS gain FROM c GROUP BY 1, 2),
+b AS (SELECT feature, gain, (x + lead(x) OVER (PARTITION BY feature ORDER BY x)) / 2 AS threshold FROM s)
+SELECT feature, round(arg_max(threshold, gain), 6) AS threshold, round(max(gain), 4) AS gain FROM b WHERE threshold IS NOT NULL GROUP BY 1 HAVING max(gain) > 0
+""")
+def forest_root_cuts(spark, sf):
+    """The cut of each feature with the largest decrease of Gini impurity over the flags."""
+    rows = table(spark, sf, "lineitem")
+    labels = models.Labels.of(rows, "l_returnflag")
+    rows = rows.select(labels.encode(F.col("l_returnflag")).alias("y"), *_CUT_FEATURES)
+    return feature_cuts(rows, _CUT_FEATURES, "y", len(labels.values)).select("feature", F.round("threshold", 6).alias("threshold"), F.round("gain", 4).alias("gain"))
 
 
 @query()
@@ -584,7 +685,7 @@ def hpo_search(spark, sf):
 
 
 def _run_on_orders(spark, sf) -> tuple[dict, DataFrame, str]:
-    orders, store = table(spark, sf, "orders"), scratch(spark, "automl")
+    orders, store = table(spark, sf, "orders"), fresh(spark, "automl")
     search = {"max_trees": 5, "cv_folds": 2, "model_families": ["random_forest"]}
     return run_automl(orders, "o_orderstatus", "accuracy", 1, store=store, key="o_orderkey", drop_key=True, search=search), orders, store
 

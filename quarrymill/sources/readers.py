@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import col
+from .excel import read_excel
 
 #: Strings that CSV readers of data frames commonly take as missing.
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -65,16 +66,15 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """By extension, upper or lower case: .csv, .xlsx and .xls, else .parquet, .orc, .json. Excel sheets are read on the
-    driver by pandas, as Spark has no reader for them, and need an Excel engine."""
+    """By extension, upper or lower case: .csv and .xlsx, else .parquet, .orc, .json. The binary .xls of old is refused."""
     kind = PurePosixPath(path).suffix.lower()
     try:
         if kind == ".csv":
             return read_csv(spark, path)
-        if kind in (".xlsx", ".xls"):
-            import pandas as pd
-
-            return spark.createDataFrame(pd.read_excel(path))
+        if kind == ".xlsx":
+            return read_excel(spark, path, MISSING)
+        if kind == ".xls":
+            raise ValueError("save the workbook as .xlsx")
         if kind in (".parquet", ".orc", ".json"):
             return spark.read.format(kind[1:]).load(path)
     except Exception as e:

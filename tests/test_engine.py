@@ -314,6 +314,26 @@ def test_auc_like_brute_force(spark):
     assert M.roc_auc(frame(spark, "y score", [(1, 1.0)], "int double"), 1).first()[0] is None
 
 
+def test_scorers_like_plain_loops(spark):
+    r = np.random.default_rng(4)
+    y, p = r.integers(0, 3, 300), r.integers(0, 3, 300)
+    got = M.averaged_metrics(frame(spark, "y p", list(zip(y.tolist(), p.tolist())), "int int")).first()
+    hit = [(p[y == k] == k).mean() for k in range(3)]
+    said = [(y[p == k] == k).mean() for k in range(3)]
+    assert got.balanced_accuracy == got.recall_macro == pytest.approx(np.mean(hit)) and got.precision_macro == pytest.approx(np.mean(said))
+    assert got.f1_macro == pytest.approx(np.mean([2 * a * b / (a + b) for a, b in zip(hit, said)])) and got.f1_micro == pytest.approx((y == p).mean())
+    one = lambda v: np.eye(3)[v] - np.eye(3)[v].mean(0)
+    assert got.matthews_corrcoef == pytest.approx((one(y) * one(p)).sum() / np.sqrt((one(y) ** 2).sum() * (one(p) ** 2).sum()))
+    score, hits = r.integers(0, 25, 300) / 4, r.integers(0, 2, 300)
+    want = sum((hits[score == s].sum()) * hits[score >= s].mean() for s in set(score)) / hits.sum()
+    assert M.average_precision(frame(spark, "y score", list(zip(hits.tolist(), score.tolist())), "int double"), 1).first()[0] == pytest.approx(want)
+    assert M.average_precision(frame(spark, "y score", [(0, 1.0)], "int double"), 1).first()[0] is None
+    a, b = r.exponential(5, 101), r.exponential(5, 101)
+    e = M.error_metrics(frame(spark, "y p", list(zip(a.tolist(), b.tolist())), "double double")).first()
+    assert e == pytest.approx((1 - np.var(a - b) / np.var(a), np.abs(a - b).max(), np.median(np.abs(a - b)), np.mean(np.abs(a - b) / a), np.mean((np.log1p(a) - np.log1p(b)) ** 2)))
+    assert M.error_metrics(frame(spark, "y p", [(-1.0, 2.0)], "double double")).first().mean_squared_log_error is None
+
+
 @pytest.mark.parametrize("metric", M.SCORERS)
 def test_every_scorer_prefers_the_better(spark, metric):
     good = frame(spark, "y p scores", [(0.0, 0.0, [0.9, 0.1]), (1.0, 1.0, [0.2, 0.8]), (1.0, 1.0, [0.1, 0.9])], "double double array<double>")
@@ -359,6 +379,43 @@ def test_csv_and_extensions(spark, tmp_path):
         read_table(spark, str(tmp_path / "none.xlsx"))
 
 
+def test_workbooks(spark, tmp_path):
+    """Shared and inline strings, rich text, gaps, styles with dates, errors, twins and missing names, both date systems."""
+    import datetime
+    import zipfile
+
+    from quarrymill.sources import excel
+
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    path = tmp_path / "Book.XLSX"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="{rel}"><workbookPr date1904="1"/><sheets><sheet name="b" sheetId="2" r:id="rId7"/><sheet name="a" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="x"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/><Relationship Id="rId7" Target="/xl/worksheets/two.xml"/></Relationships>')
+        z.writestr("xl/styles.xml", rf"""<styleSheet {main}><numFmts><numFmt numFmtId="170" formatCode="yyyy\-mm\-dd"/><numFmt numFmtId="171" formatCode="0.0&quot;days&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="170"/><xf numFmtId="171"/><xf numFmtId="14"/></cellXfs></styleSheet>""")
+        z.writestr("xl/sharedStrings.xml", f"<sst {main}><si><t>n</t></si><si><r><t>ri</t></r><r><t>ch</t></r><rPh><t>no</t></rPh></si></sst>")
+        rows = '<row r="2"><c r="A2" t="s"><v>0</v></c><c r="C2" t="s"><v>1</v></c><c r="D2" t="s"><v>0</v></c><c r="E2" t="inlineStr"><is><t>when</t></is></c><c r="F2" t="inlineStr"><is><t>ok</t></is></c></row>'
+        rows += '<row r="3"><c r="A3"><v>1</v></c><c r="C3" t="str"><v>x &amp; y</v></c><c r="D3" s="2"><v>1.5</v></c><c r="E3" s="1"><v>1.25</v></c><c r="F3" t="b"><v>1</v></c></row>'
+        rows += '<row r="5"><c r="A5"><v>3</v></c><c r="B5" t="e"><v>#N/A</v></c><c r="C5" t="inlineStr"><is><t>NA</t></is></c><c r="E5" s="3"><v>0</v></c></row><row r="6"/>'
+        z.writestr("xl/worksheets/two.xml", f"<worksheet {main}><sheetData>{rows}</sheetData></worksheet>")
+    df = read_table(spark, str(path))
+    assert df.dtypes == [("n", "bigint"), ("Unnamed: 1", "string"), ("rich", "string"), ("n.1", "double"), ("when", "timestamp_ntz"), ("ok", "boolean")]
+    day = datetime.datetime
+    assert [tuple(r) for r in df.collect()] == [(1, None, "x & y", 1.5, day(1904, 1, 2, 6), True), (None,) * 6, (3, None, None, None, day(1904, 1, 1), None)]
+
+    nations = spark.read.parquet("/root/testdata/sf0.001/nation.parquet")
+    (tmp_path / "nation.xlsx").write_bytes(excel.workbook(nations.columns, map(tuple, nations.collect())))
+    again = read_table(spark, str(tmp_path / "nation.xlsx"))
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, nations.collect())) and again.dtypes[0][1] == "bigint"
+    (tmp_path / "long.xlsx").write_bytes(excel.workbook(["i", "t", "b"], ((i, f"row {i}", i % 2 == 0) for i in range(200_000))))
+    many = read_table(spark, str(tmp_path / "long.xlsx"))
+    assert many.agg(F.count("t"), F.sum("i"), F.sum(F.col("b").cast("int"))).first() == (200_000, 199_999 * 100_000, 100_000)
+    (tmp_path / "none.xlsx").write_bytes(excel.workbook([], []))
+    for bad in ("none.xlsx", "old.xls"):
+        with pytest.raises(ValueError, match="Could not read uploaded file"):
+            read_table(spark, str(tmp_path / bad))
+
+
 def test_missing_values(spark):
     df = frame(spark, "x n", [(math.nan, 1), (1.0, None)], "double int")
     assert sorted(values(normalize_missing(df), "x", "n"), key=str) == [(1.0, None), (None, 1)]
