@@ -6,11 +6,13 @@
    phone numbers without a plus, obfuscated addresses, IPv6 and so on. Features of format and context (what stands
    before and after, words such as "call" nearby) are the bits of one number.
 3. Boosted trees. A proposal that is itself a base match has its label from the base check, one away from all base matches
-   of its kind counts as 0, and one strictly inside a failing match has none. Nor has a form that no base rule can judge
-   (obfuscated or Unicode addresses, IPv6, phone numbers without a plus): the features leave out the syntax that sets it
-   apart, so it is judged by format and context. Labels are counted per kind and feature
-   number over all rows, a table whose size the number of bits bounds; gradient boosting with trees of depth 2 is fitted
-   to it on the driver, and per kind the threshold is the lowest at which PRECISION of the labels above are 1, and above which no margin has less.
+   of its kind counts as 0, and one strictly inside a failing match has none. Forms that no base rule can judge
+   (obfuscated or Unicode addresses, IPv6, phone numbers without a plus) have models of their own, fitted to made-up labelled
+   texts (`made_up`): such forms where they are meant, and look-alikes where they are not (part numbers, ratios, times). Labels are counted per
+   kind, form and feature number over all rows, a table whose size the number of bits bounds; gradient boosting with trees of depth 2 is fitted
+   to it on the driver, and per kind and form the threshold is the lowest at which PRECISION of the labels above are 1, and above
+   which no margin has less; for made-up texts it is set on those that the trees weren't fitted to. Where there is nothing to tell apart, as all
+   labels of a kind are 1, a proposal is accepted if it passes the kind's own check, and in no other case.
 4. Selection. Base spans stay. A proposal joins them if its calibrated score passes and it overlaps no base span and no
    accepted proposal that starts before it (of several with one start, the longest counts).
 
@@ -63,12 +65,16 @@ GENERATORS = {
 }
 # Words that speak for a kind, in the languages of the corpora this was made for.
 CONTEXT = {
-    "email": r"(?i)\b(?:e-?mail|contact|write|schreib|correo|courriel)",
+    "email": r"(?i)\b(?:(?:e-?)?mail|contact|write|schreib|correo|courriel)",
     "ip": r"(?i)\b(?:ip|host|server|address|adresse)\b",
     "card": r"(?i)\b(?:card|visa|credit|karte|tarjeta|carte)\b",
     "phone": r"(?i)\b(?:phone|call|tel|fax|mobile|telefon|llame|appel)",
 }
-FEATURES = 8
+# What makes a form speak for itself: dots in words, hexadecimal digits or long groups, an area code in brackets.
+TELLING = {"email": r"(?i)[(\[{]dot[)\]}]|@", "ip": r"[A-Fa-f]|[0-9]{3}", "card": r"^\b$", "phone": r"^\("}
+# Words right before a number that make it something else.
+OTHERWISE = r"(?i)\b(?:no|nos|nr|num|number|part|ratio|table|order|item|id|isbn|version|page|code|ref|art|serial|score|model|lot|batch|sku|case|section|invoice|account|value|time|line|row|nummer|teil|seite|tabelle|pedido|tabla|valor|commande|tableau|valeur)\b[\s.:#=-]*$"
+FEATURES = 10
 BLOCK = 64
 
 
@@ -143,6 +149,8 @@ def features(kind: str, m: Column) -> Column:
         F.right(m["before"], F.lit(1)).rlike(r"[\p{L}0-9_./=#-]"),
         F.left(m["after"], F.lit(1)).rlike(r"[\p{L}0-9_/=#]"),
         m["before"].rlike(CONTEXT[kind]),
+        value.rlike(TELLING[kind]),
+        m["before"].rlike(OTHERWISE),
     ]
     assert len(bits) == FEATURES
     return sum((b.cast("int") * (1 << i) for i, b in enumerate(bits)), F.lit(0)).cast("int")
@@ -165,8 +173,8 @@ def _over(spans: Column, m: Column) -> Column:
 
 
 def proposals(rows: DataFrame) -> DataFrame:
-    """rows (doc_id, text, ...) with base_{kind}: sound spans (start, stop), and more_{kind}: proposals (start, stop, bits,
-    label) that overlap no base span of any kind, or, with a label, are one themselves."""
+    """rows (doc_id, text, ...) with base_{kind}: sound spans (start, stop), and more_{kind}: proposals (start, stop, bits, free,
+    sound, label; free: of a form that no base rule judges) that overlap no base span of any kind, or, with a label, are one themselves."""
     for kind in KINDS:
         rows = matches(rows, f"all_{kind}", BASE[kind], HINT[kind])
         rows = rows.withColumn(f"all_{kind}", F.transform(f"all_{kind}", lambda m: F.struct(m["start"], m["stop"], sound(kind, m["value"]).alias("sound"))))
@@ -177,7 +185,7 @@ def proposals(rows: DataFrame) -> DataFrame:
         labelled = F.transform(
             F.array_distinct(F.concat(*(f"gen_{kind}_{i}" for i in range(len(GENERATORS[kind]))))),
             lambda m: F.struct(
-                m["start"], m["stop"], features(kind, m).alias("bits"),
+                m["start"], m["stop"], features(kind, m).alias("bits"), _unjudged(kind, m["value"]).alias("free"), sound(kind, m["value"]).alias("sound"),
                 F.when(F.exists(every, lambda b: (b["start"] == m["start"]) & (b["stop"] == m["stop"]) & b["sound"]), 1)
                 .when(F.exists(every, lambda b: (b["start"] == m["start"]) & (b["stop"] == m["stop"])), 0)
                 .when(~_over(every, m) & ~_within_run(kind, m) & ~_unjudged(kind, m["value"]), 0).alias("label"),
@@ -237,38 +245,83 @@ def threshold(table, margins, precision: float = PRECISION) -> float | None:
     return lowest
 
 
+def made_up() -> list[tuple[int, str, str, int]]:
+    """(number, text, kind, label): forms that no base rule judges, in contexts where they are meant and where they aren't."""
+    numbers = ["269-555-3296", "800 555 1234", "555.123.4567", "415-555-0199", "312 555 7788", "907.555.1010"]
+    bracketed = ["(269) 555-3296", "(800) 555 1234", "(415) 555.0199"]
+    calls = ["call {} now", "phone: {}", "tel. {}", "my mobile is {}", "fax {} please", "Telefon {}", "llame al {} hoy", "appelez-nous, tel {}", "phone us any time after six at {}", "Call me, {}"]
+    plain = ["it says {} there", "{} after six", "then {}", "we saw {} again", "from {} on", "and {} too"]
+    things = ["ratio {} in table", "part no {} is gone", "table {} shows it", "order {} was sent", "isbn {}", "item {} of the list", "page {}", "section {}", "serial {}", "invoice {} is due", "id: {}", "score {}", "lot {}", "Nummer {}", "valor {}"]
+    rows = [(t, v, "phone", 1) for t in calls for v in numbers + bracketed] + [(t, v, "phone", 1) for t in plain for v in bracketed]
+    rows += [(t, v, "phone", 0) for t in plain + things for v in numbers] + [(t, v, "phone", 0) for t in things for v in bracketed]
+    hexes = ["2001:db8:0:0:0:ff00:42:8329", "fe80:0:0:0:1:2:3:4", "2001:0:0:1:0:0:0:25de", "fd00:1:2:3:4:5:6:7", "2606:4700:0:0:0:0:6810:84e5"]
+    digits = ["1:2:3:4:5:6:7:8", "12:30:45:10:11:12:13:14", "9:8:7:6:5:4:3:2"]
+    hosts = ["host {} is up", "server at {} answered", "ip {}", "its address is {}", "Server: {}"]
+    rows += [(t, v, "ip", 1) for t in hosts for v in hexes + digits] + [(t, v, "ip", 1) for t in plain for v in hexes]
+    rows += [(t, v, "ip", 0) for t in [*plain, "time {} is a list", "ratio {}", "line {}", "score {} so far"] for v in digits]
+    dotted = ["jane (at) example (dot) org", "john.smith [at] mail [dot] example [dot] com", "info {at} firm {dot} de"]
+    half = ["bob (at) example.com", "look (at) home.now", "meet (at) noon.today", "sales [at] shop.example"]
+    unicode = ["jörg@exämple.de", "señor@correo.es", "élise@société.fr"]
+    mails = ["mail {} now", "contact {}", "write to {} today", "email: {}", "e-mail {} please", "schreib an {}", "correo {}"]
+    rows += [(t, v, "email", 1) for t in mails for v in dotted + half + unicode] + [(t, v, "email", 1) for t in plain for v in dotted + unicode]
+    rows += [(t, v, "email", 0) for t in [*plain, "please {} for once", "they {} as well", "you {} or not"] for v in half]
+    return [(i, t.format(v) if "{" not in v else t.replace("{}", v), kind, label) for i, (t, v, kind, label) in enumerate(rows)]
+
+
+def margin(start: float, trees: list, bits: int) -> float:
+    return start + sum(values[2 * (bits >> a & 1) + (bits >> b & 1)] for a, b, values in trees)
+
+
 class Selector:
-    """Per kind: trees and threshold, as an expression over a proposal's bits."""
+    """Per kind and form (free: no base rule judges it): trees and threshold, as an expression over a proposal."""
 
-    def __init__(self, counted: list[tuple[str, int, int, int]]):
-        self.models = {}
+    def __init__(self, counted: list[tuple[str, int, int, int]], free: list[tuple[str, int, int, int, int]] = ()):
+        """counted: (kind, bits, zeros, ones) by the base rules; free: (kind, bits, part, zeros, ones) of made-up texts, whose
+        part 0 is fitted and part 1 sets the threshold."""
+        self.models: dict[tuple[str, bool], tuple[float, list, float]] = {}
+        self.checked: set[str] = set()
         for kind in KINDS:
             table = sorted(r[1:] for r in counted if r[0] == kind)
             if table and sum(r[2] for r in table):
-                if not sum(r[1] for r in table):  # nothing to tell apart
-                    self.models[kind] = 0.0, [], 0.0
-                    continue
                 start, trees, margins = boost(table)
-                if (lowest := threshold(table, margins)) is not None:
-                    self.models[kind] = start, trees, lowest
-
-    def accepts(self, kind: str, bits: Column) -> Column:
-        if kind not in self.models:
-            return F.lit(False)
-        start, trees, lowest = self.models[kind]
-        margin = F.lit(start)
+                if not sum(r[1] for r in table):  # nothing to tell apart
+                    self.checked.add(kind)
+                elif (lowest := threshold(table, margins)) is not None:
+                    self.models[kind, False] = start, trees, lowest
+            parts = [sorted((r[1], *r[3:]) for r in free if r[0] == kind and r[2] == part) for part in (0, 1)]
+            if all(sum(r[i] for r in part) for part in parts for i in (1, 2)):
+                start, trees, _ = boost(parts[0])
+                if (lowest := threshold(parts[1], [margin(start, trees, r[0]) for r in parts[1]])) is not None:
+                    self.models[kind, True] = start, trees, lowest
+
+    def _passes(self, kind: str, free: bool, bits: Column) -> Column:
+        start, trees, lowest = self.models[kind, free]
+        total = F.lit(start)
         for a, b, values in trees:
             x, y = bits.bitwiseAND(1 << a) != 0, bits.bitwiseAND(1 << b) != 0
-            margin = margin + F.when(x & y, values[3]).when(x, values[2]).when(y, values[1]).otherwise(values[0])
-        return margin >= lowest - 1e-9
+            total = total + F.when(x & y, values[3]).when(x, values[2]).when(y, values[1]).otherwise(values[0])
+        return total >= lowest - 1e-9
+
+    def accepts(self, kind: str, m: Column) -> Column:
+        judged = m["sound"] if kind in self.checked else self._passes(kind, False, m["bits"]) if (kind, False) in self.models else F.lit(False)
+        free = self._passes(kind, True, m["bits"]) if (kind, True) in self.models else F.lit(False)
+        return F.when(m["free"], free).otherwise(judged)
+
+
+def _counts(rows: DataFrame, *by: str) -> list[tuple]:
+    zeros, ones = (F.count(F.when(F.col("label") == v, 1)).alias(n) for v, n in ((0, "zeros"), (1, "ones")))
+    return [tuple(r) for r in rows.groupBy("kind", "bits", *by).agg(zeros, ones).collect()]  # kinds x 2 ** FEATURES rows, or twice that
 
 
 def learn(rows: DataFrame) -> Selector:
-    """Counts the labels of all proposals in rows, the result of proposals(), and fits the trees to the counts."""
-    every = F.concat(*(F.transform(f"more_{k}", lambda m: F.struct(F.lit(k).alias("kind"), m["bits"], m["label"])) for k in KINDS))
-    each = rows.select(F.explode(F.filter(every, lambda m: m["label"].isNotNull())).alias("m")).select("m.*")
-    counted = each.groupBy("kind", "bits").agg(F.count(F.when(F.col("label") == 0, 1)).alias("zeros"), F.count(F.when(F.col("label") == 1, 1)).alias("ones"))
-    return Selector([tuple(r) for r in counted.collect()])  # at most kinds x 2 ** FEATURES rows
+    """Counts the labels of all proposals in rows, the result of proposals(), and those of the made-up texts, and fits the
+    trees to the counts."""
+    every = F.concat(*(F.transform(f"more_{k}", lambda m: F.struct(F.lit(k).alias("kind"), m["bits"].alias("bits"), m["free"].alias("free"), m["label"].alias("label"))) for k in KINDS))
+    each = rows.select(F.explode(F.filter(every, lambda m: m["label"].isNotNull() & ~m["free"])).alias("m")).select("m.*")
+    texts_of = proposals(rows.sparkSession.createDataFrame(made_up(), "doc_id long, text string, meant string, truth int"))
+    part = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2).cast("int").alias("part")
+    free = texts_of.select("meant", "truth", part, F.explode(F.filter(every, lambda m: m["free"])).alias("m")).where("m.kind = meant")
+    return Selector(_counts(each), _counts(free.select("m.kind", "m.bits", "part", F.col("truth").alias("label")), "part"))
 
 
 def select(rows: DataFrame, selector: Selector) -> DataFrame:
@@ -277,7 +330,7 @@ def select(rows: DataFrame, selector: Selector) -> DataFrame:
         F.transform(keep(k, F.col(f"{prefix}_{k}")), lambda m: F.struct(m["start"].alias("start"), F.lit(i).alias("kind"), m["stop"].alias("stop"))) for i, k in enumerate(KINDS)
     ))
     rows = rows.withColumn("base", F.array_sort(ordered("base", lambda _, spans: spans)))
-    more = ordered("more", lambda k, spans: F.filter(spans, lambda m: selector.accepts(k, m["bits"])))
+    more = ordered("more", lambda k, spans: F.filter(spans, lambda m: selector.accepts(k, m)))
     rows = rows.withColumn("more", F.filter(more, lambda m: ~_over(F.col("base"), m)))
     none = F.array().cast("array<struct<start:bigint,kind:int,stop:bigint>>")
     # In order of start, longest first; what overlaps the last one kept goes.

@@ -127,5 +127,39 @@ def test_forms_that_no_base_rule_judges(spark, share):
     assert [got[1000 + j].spans for j in range(3)] == ["email:5:32", "ip:5:32", "phone:5:19"]
 
 
+LOOK_ALIKES = [
+    "ratio 123-456-7890 in table 555.123.4567 and part no 800 555 1234", "time 1:2:3:4:5:6:7:8 is a list", "look (at) home.now", "they meet (at) noon.today or never",
+    "order 212-555-0100 was sent", "row 10:20:30:40:50:60:70:80 of the grid", "see 415 555 0101 units", "isbn 978-316-1484",
+]
+MEANT = {
+    "call 269-555-3296 now": "phone:5:17", "write to jane (at) example (dot) org": "email:9:36", "jane (at) example (dot) org": "email:0:27", "host 2001:db8:0:0:0:ff00:42:8329 is up": "ip:5:32",
+    "my tel is 907.555.1212, ok": "phone:10:22", "(269) 555-0000 after six": "phone:0:14", "contact bob (at) example.com": "email:8:28", "señor@correó.es": "email:0:15",
+}
+
+
+@pytest.mark.parametrize("known", [0, 100])
+def test_look_alikes_stay(spark, known):
+    """With and without base matches in the corpus, which has no labels 0 for three kinds."""
+    rows = [(i, f"call +1 (269) 555-{3000 + i} now, mail a{i}@b.com now, host 10.0.0.{i} is up") for i in range(known)]
+    rows += [(1000 + i, t) for i, t in enumerate(LOOK_ALIKES)] + [(2000 + i, t) for i, t in enumerate(MEANT)]
+    got = {r.doc_id: r for r in as_query(frame(spark, rows))}
+    assert [got[1000 + i].spans for i in range(len(LOOK_ALIKES))] == [""] * len(LOOK_ALIKES)
+    assert [got[2000 + i].spans for i in range(len(MEANT))] == list(MEANT.values())
+
+
+def test_every_kind_has_a_model(spark, sf):
+    selector = pd.learn(pd.proposals(pd.texts(spark.read.parquet(f"{sf}/documents.parquet"))))
+    assert {k for k, free in selector.models if free} == {"email", "ip", "phone"}
+    assert all(k in selector.checked or (k, False) in selector.models for k in pd.KINDS)
+
+
+def test_precision_and_recall_on_texts_that_were_not_fitted(spark):
+    """Of the made-up texts' other half, at least 95 % of what is accepted is meant, and 90 % of what is meant is accepted."""
+    rows = [r for r in pd.made_up() if __import__("zlib").crc32(str(r[0]).encode()) % 2]
+    got = {r.doc_id: r.spans for r in as_query(frame(spark, [(r[0], r[1]) for r in rows]))}
+    right = sum(bool(got[i]) and label for i, _, _, label in rows)
+    assert right / sum(map(bool, got.values())) >= 0.95 and right / sum(r[3] for r in rows) >= 0.9
+
+
 def test_rare_zeros_do_not_open_their_margin():
     assert pd.threshold([(0, 1, 0), (1, 0, 500)], [-1.0, 3.0]) == 3.0
