@@ -23,6 +23,10 @@ def with_key(df: DataFrame, key: str | None) -> DataFrame:
     return df.withColumn(KEY, col(key).cast("string") if key else F.concat_ws(":", F.xxhash64(*map(col, df.columns)).cast("string"), F.md5(F.to_json(F.struct(*map(col, df.columns))))))
 
 
+def profile(df: DataFrame) -> dict[str, int]:
+    return {"n_rows": df.count(), "n_columns": len(df.columns)}
+
+
 def run_automl(
     df: DataFrame,
     target_column: str,
@@ -86,8 +90,7 @@ def run_automl(
         "task_type": task,
         "metric": metric,
         "target_column": target_column,
-        "n_rows": df.count(),
-        "n_columns": len(df.columns),
+        **profile(df),
     }
 
 

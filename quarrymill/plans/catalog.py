@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import col, date_parts, flatten_params, normalize_missing, parse_datetime
 from ..operators import metrics as M
 from ..operators import models
-from ..operators.automl import run_automl
+from ..operators.automl import profile, run_automl
 from ..operators.features import AutoFeatureEngineer, array_features
 from ..operators.preprocess import AutoPreprocessor, date_shares, drop_missing_target, infer_schema, split_features_target
 from ..operators.registry import latest_version, resolve_uri, version_by_run
@@ -89,10 +89,9 @@ def rows_scan(spark, sf):
     return rows.select(F.col("n_nationkey").cast("int"), "n_name", F.col("n_regionkey").cast("int"))
 
 
-@query("SELECT count(*) AS n_rows, CAST(6 AS BIGINT) AS n_columns FROM orders")
+@query("SELECT count(*) AS n_rows, (SELECT count(*) FROM (DESCRIBE orders)) AS n_columns FROM orders")
 def dataset_profile(spark, sf):
-    orders = table(spark, sf, "orders")
-    return orders.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_columns", F.lit(len(orders.columns)).cast("long"))
+    return spark.createDataFrame([profile(table(spark, sf, "orders"))])
 
 
 # Schema
@@ -490,10 +489,17 @@ def metric_finite_filter(spark, sf):
     return M.finite(table(spark, sf, "events").select(n.alias("key"), value.alias("value")))
 
 
-@query("SELECT * FROM (VALUES ('max_depth', 'None'), ('n_estimators', '50'), ('learning_rate', '0.25'), ('flag', 'True'), ('name', 'x'), ('list', '[1, 2]')) AS t(key, value)")
+@query("""
+WITH g AS (SELECT o_orderpriority AS name, count(*) AS n, min(o_orderstatus) AS first, CASE WHEN count(*) % 2 = 0 THEN NULL ELSE max(o_custkey) END AS odd, count(*) > 300 AS many FROM orders GROUP BY 1)
+SELECT name, 'n' AS key, CAST(n AS VARCHAR) AS value FROM g UNION ALL SELECT name, 'first', first FROM g UNION ALL
+SELECT name, 'odd', coalesce(CAST(odd AS VARCHAR), 'None') FROM g UNION ALL SELECT name, 'many', CASE WHEN many THEN 'True' ELSE 'False' END FROM g
+""")
 def param_flatten(spark, sf):
-    flat = flatten_params({"max_depth": None, "n_estimators": 50, "learning_rate": 0.25, "flag": True, "name": "x", "list": [1, 2]})
-    return spark.createDataFrame(list(flat.items()), "key string, value string")
+    """Each priority's figures as the parameters of a run: numbers, strings, booleans and missing values."""
+    n = F.count(F.lit(1))
+    found = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("name")).agg(n.alias("n"), F.min("o_orderstatus").alias("first"), F.when(n % 2 != 0, F.max("o_custkey")).alias("odd"), (n > 300).alias("many"))
+    rows = [(r.name, k, v) for r in found.collect() for k, v in flatten_params({c: r[c] for c in ("n", "first", "odd", "many")}).items()]  # a row a priority
+    return spark.createDataFrame(rows, "name string, key string, value string")
 
 
 # Registry
@@ -698,11 +704,11 @@ def automl_end_to_end(spark, sf):
 
 @query("SELECT o_orderkey, true AS same FROM orders")
 def registry_roundtrip(spark, sf):
-    """The registered pipeline, loaded again, predicts what the one in memory does."""
+    """The registered pipeline, loaded again, predicts what the one in memory does; a missing prediction is no match."""
     from ..operators.registry import Registry
 
     run, orders, store = _run_on_orders(spark, sf)
     orders = orders.drop("o_orderstatus")
     here, there = run["full_pipeline"].predict(orders), Registry(spark, store).predict(orders)
     found = here.select("o_orderkey", F.col("prediction").alias("here")).join(there.select("o_orderkey", F.col("prediction").alias("there")), "o_orderkey")
-    return found.select("o_orderkey", F.col("here").eqNullSafe(F.col("there")).alias("same"))
+    return found.select("o_orderkey", F.coalesce(F.col("here") == F.col("there"), F.lit(False)).alias("same"))
