@@ -18,7 +18,11 @@ in about ten bits. With several (`prints`), of the set of shingles, documents ar
 do equal fingerprints of samples: the SAMPLE shingles whose hashes are smallest after mixing, in SAMPLES ways. Two sets
 of similarity s have the same sample with probability s ** SAMPLE. Each proposed pair is tested on the whole sets; tested
 links are contracted before more pairs are proposed, so a large group costs about its size. Nodes that have two samples
-in common are all compared, unless these are shared by more than FEW nodes, which are compared with centers only.
+in common, or near fingerprints, are all compared, unless their bucket is large: then with centers, or along a spanning
+forest, only. Large buckets that have several parts after that are not given up: their nodes are joined among
+themselves by an exact join of sets. Two sets of the similarity have an element in common among the first ones of each in any
+one order (prefix filter), at places that leave room for the rest of what they must share (position filter). The order
+puts frequent elements last, so that passages which many share propose nothing by themselves.
 
 Null and empty texts have the fingerprint zero and are linked like any other. A text with fewer words than a shingle is
 one shingle. Rows that repeat a doc_id get a row each. An empty table gives no rows.
@@ -37,8 +41,9 @@ from .common import STAYS, Scope, documents, materialize, passing, prepare, rele
 from .components import components
 
 BITS, LARGE, MASKS = 64, 3000, 2000
-SMALL = 64  # buckets of up to so many rows propose all their near pairs, larger ones a spanning forest of them
-SAMPLES, SAMPLE, TOGETHER, FEW = 8, 3, 2, 16
+SMALL = 64  # buckets of up to so many rows propose all their near pairs, larger ones a spanning forest of them first
+SAMPLES, SAMPLE, TOGETHER, FEW = 8, 3, 2, 16  # FEW: larger buckets of samples propose centers first
+COMMON = 20_000  # so many elements at most are known as frequent; this sets an order, not the result
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -370,21 +375,29 @@ def _star_pairs(company: DataFrame) -> DataFrame:
 
 
 def _apart(state: _Links, company: DataFrame, heads: DataFrame) -> DataFrame:
-    """The rows of buckets whose node isn't linked to the center by now; of small buckets all rows."""
+    """The rows of buckets whose node isn't linked to the center by now."""
     rows = state.parted(company.drop("part", "center_part", "others")).join(_of_center(state, heads), "center")
-    return rows.where((F.col("part") != F.col("center_part")) | (F.col("n") <= FEW))
+    return rows.where(F.col("part") != F.col("center_part"))
 
 
-def _propose_by_samples(state: _Links, nodes: DataFrame) -> DataFrame:
+def _undecided(state: _Links, rows: DataFrame) -> DataFrame:
+    """The rows (id, key, ...) of buckets that have several parts by now, with these."""
+    rows = state.parted(rows.drop("part"))
+    several = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
+    return rows.join(several.select("key"), "key", "left_semi")
+
+
+def _propose_by_samples(state: _Links, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes with a sample in common form a bucket. Each node proposes itself to the center that it shares most samples with;
     the tested links leave few buckets with several parts. Their rows meet again by pairs of samples: small buckets propose
-    all pairs of different parts, large ones their centers, twice. The second time's pairs are returned untested."""
+    all pairs of different parts, large ones their centers, twice. The second time's pairs are returned untested, with the rows
+    (id, key) of the large buckets."""
     spark = nodes.sparkSession
     with passing(spark) as here:
         rows = nodes.select("id", F.posexplode("samples").alias("at", "sample")).select("id", "at", F.xxhash64("at", "sample").alias("key"))
         company, heads = _buckets(state, rows, nodes, here)
         state.test(_star_pairs(company))
-        left = _apart(state, company, heads)
+        left = _undecided(state, company.select("id", "at", "key"))
         own = left.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("at", "key"))).alias("own"))  # as many as samples at most
         two = own.select("id", F.explode(F.flatten(F.transform("own", lambda x: F.transform(F.filter("own", lambda y: y["at"] > x["at"]), lambda y: F.xxhash64(x["key"], y["key"]))))).alias("key"))
         two = materialize(two, "simhash-twos", state.scope)
@@ -393,8 +406,9 @@ def _propose_by_samples(state: _Links, nodes: DataFrame) -> DataFrame:
     one, other = (few.select(F.col("key").alias("key" + x), F.col("id").alias("id" + x), F.col("part").alias("part" + x)) for x in "12")
     close = one.join(other, F.col("key1") == F.col("key2")).where("id1 < id2 and part1 != part2")
     state.test(_star_pairs(company.where(F.col("n") > FEW)).unionByName(close.select(F.col("id1").alias("u"), F.col("id2").alias("v"))))
-    again, _ = _buckets(state, _apart(state, company.where(F.col("n") > FEW), heads).select("id", "key"), nodes, state.scope)
-    return _star_pairs(again)
+    large = company.where(F.col("n") > FEW)
+    again, _ = _buckets(state, _apart(state, large, heads).select("id", "key"), nodes, state.scope)
+    return _star_pairs(again), large.select("id", "key")
 
 
 def _of_center(state: _Links, heads: DataFrame) -> DataFrame:
@@ -405,6 +419,12 @@ def _of_center(state: _Links, heads: DataFrame) -> DataFrame:
 def proposed(nodes: DataFrame, distance: int) -> DataFrame:
     """(u, v): pairs of nodes (id, fp, part) of different parts whose fingerprints differ in at most `distance` bits. All such
     pairs of small buckets; of a large bucket, enough to connect what its near pairs connect."""
+    return _meetings(nodes, distance).where("not member").select("u", "v")
+
+
+def _meetings(nodes: DataFrame, distance: int) -> DataFrame:
+    """(u, v, member): the proposed pairs and, as members, the nodes v of each group u that near pairs of large buckets connect,
+    if it has several parts. Each near pair of different parts is a proposed one, or both are in a group."""
     n_segments = distance // 2 + 1
 
     def index(batches):
@@ -422,7 +442,7 @@ def proposed(nodes: DataFrame, distance: int) -> DataFrame:
     def meet(batches):
         import pyarrow as pa
 
-        forest, rest, found = Forest(), [np.empty(0, "i8")] * 4, [np.empty((0, 2), "i8")]
+        forest, rest, found, part_of = Forest(), [np.empty(0, "i8")] * 4, [np.empty((0, 2), "i8")], {}
 
         def settle(keys, fps, ids, parts):
             bounds = np.flatnonzero(np.diff(keys)) + 1
@@ -436,12 +456,17 @@ def proposed(nodes: DataFrame, distance: int) -> DataFrame:
                 found.append(np.stack([ids[i], ids[i + k]], 1))
             for s, e in zip(starts[stops - starts > SMALL].tolist(), stops[stops - starts > SMALL].tolist(), strict=True):
                 own, part = ids[s:e], parts[s:e]
-                i, j = near(fps[s:e], distance)
-                other = part[i] != part[j]
-                for x, y in zip(own[i[other]].tolist(), own[j[other]].tolist(), strict=True):
+                if (part == part[0]).all():
+                    continue
+                values, first, value = np.unique(fps[s:e], return_index=True, return_inverse=True)
+                i, j = near(values, distance) if len(values) > LARGE else _tree(values, distance)
+                a, b = np.concatenate([first[i], first[value]]), np.concatenate([first[j], np.arange(e - s)])  # near values, and rows of one value
+                part_of.update(zip(own.tolist(), part.tolist(), strict=True))
+                for x, y, differ in zip(own[a].tolist(), own[b].tolist(), (part[a] != part[b]).tolist(), strict=True):
                     if forest.root(x) != forest.root(y):
                         forest.link(x, y)
-                        found.append(np.array([[x, y]]))
+                        if differ:
+                            found.append(np.array([[x, y]]))
 
         for b in batches:
             if b.num_rows == 0:
@@ -455,30 +480,110 @@ def proposed(nodes: DataFrame, distance: int) -> DataFrame:
             settle(rest[0], rest[1].view("u8"), rest[2], rest[3])
         pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
         for at in range(0, len(pairs), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[at : at + 100_000, c])) for c in (0, 1)], names=["u", "v"])
+            some = np.ascontiguousarray(pairs[at : at + 100_000].T)
+            yield pa.RecordBatch.from_arrays([pa.array(some[0]), pa.array(some[1]), pa.array(np.zeros(some.shape[1], bool))], names=["u", "v", "member"])
+        several = {r for x in forest.parent if part_of[x] != part_of[r := forest.root(x)]}
+        members = [(r, x) for x in list(forest.parent) if (r := forest.root(x)) in several]
+        for at in range(0, len(members), 100_000):
+            u, v = zip(*members[at : at + 100_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array([True] * len(u))], names=["u", "v", "member"])
 
     indexed = nodes.select("id", "fp", "part").mapInArrow(index, "key long, fp long, id long, part long")
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return indexed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(meet, "u long, v long")
+    return indexed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(meet, "u long, v long, member boolean")
+
+
+def _frequent(own: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(elements in order, rank by frequency) of the up to COMMON elements that most of the sets (id, hashes) have."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, "<u4").astype("i8"))], names=["key"])
+
+    counts = own.select("hashes").mapInArrow(run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    found = np.array([r.key for r in counts.where(F.col("n") > FEW).orderBy(F.desc("n"), "key").limit(COMMON).collect()], "<u4")
+    order = np.argsort(found)
+    return found[order], len(found) - order  # the most frequent one has the highest rank
+
+
+def prefixes(own: DataFrame, similarity: float) -> DataFrame:
+    """(id, key, size, at) of the sets (id, hashes): the first elements, the rare ones before the frequent ones, and their places. Two sets
+    of the similarity have one of these in common."""
+    elements, ranks = _frequent(own)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                h = np.frombuffer(x, "<u4")
+                if len(h) == 0:
+                    continue
+                rank = np.zeros(len(h), "i8")
+                if len(elements):
+                    at = np.minimum(np.searchsorted(elements, h), len(elements) - 1)
+                    rank = np.where(elements[at] == h, ranks[at], 0)
+                n = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1
+                first = h[np.lexsort((h, rank))[:n]].astype("i8")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(first), i, "i8")), pa.array(first), pa.array(np.full(len(first), len(h), "i8")), pa.array(np.arange(len(first)))], names=["id", "key", "size", "at"]
+                )
+
+    return own.select("id", "hashes").mapInArrow(run, "id long, key long, size long, at long")
+
+
+def _room(similarity: float):
+    """Whether two sets may have the similarity, if an element at `at` and `at2` is the first that they have in common."""
+    return F.least(F.col("size") - F.col("at"), F.col("size2") - F.col("at2")) >= (F.col("size") + F.col("size2")) * (similarity / (1 + similarity)) - 1e-9
+
+
+def _join_sets(state: _Links, ids: DataFrame) -> None:
+    """Links every pair of the nodes ids (id) that has the similarity. Rows of a key propose its center first; the tested links are
+    contracted, so that a large group isn't expanded, and what is still in different parts is joined."""
+    spark = ids.sparkSession
+    with passing(spark):
+        ids = materialize(ids.distinct(), "simhash-undecided")
+        if ids.isEmpty():
+            return
+        own = materialize(state.sets.join(ids, "id", "left_semi"), "simhash-own")
+        rows = materialize(_undecided(state, materialize(prefixes(own, state.similarity), "simhash-prefixes")), "simhash-places")
+        heads = materialize(rows.groupBy("key").agg(F.min(F.struct("id", "size", "at", "part")).alias("c")).select("key", F.col("c.id").alias("u"), F.col("c.size").alias("size2"), F.col("c.at").alias("at2"), F.col("c.part").alias("part2")), "simhash-firsts")
+        met = rows.join(heads, "key").where(F.col("part") != F.col("part2")).where(_room(state.similarity))
+        best = met.groupBy("id", "u").agg(F.count(F.lit(1)).alias("n")).groupBy("id").agg(F.max_by("u", F.struct("n", -F.col("u"))).alias("u"))
+        state.test(best.select("u", F.col("id").alias("v")))
+        rows = materialize(_undecided(state, rows), "simhash-places")
+        other = rows.select("key", F.col("id").alias("v"), F.col("size").alias("size2"), F.col("at").alias("at2"), F.col("part").alias("part2"))
+        state.test(rows.join(other, "key").where("id < v and part != part2").where(_room(state.similarity)).select(F.col("id").alias("u"), "v"))
 
 
 def _verified(nodes: DataFrame, sets: DataFrame, distance: int, similarity: float, scope: Scope = STAYS) -> DataFrame:
     """(node, component) by the pairs of nodes that samples or near fingerprints propose and the sets confirm. scope: how
     long the tables stay that the result reads."""
     state = _Links(nodes, sets, similarity, scope)
-    again = _propose_by_samples(state, nodes)
+    again, large = _propose_by_samples(state, nodes)
     nodes.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")  # four numbers a row
     rest = materialize(state.parted(nodes.select("id", "fp")), "simhash-parts", scope)
-    each = materialize(rest.groupBy("fp").agg(F.min(F.struct("id", "part")).alias("m")).select("fp", "m.id", "m.part"), "simhash-prints", scope)
-    same = rest.join(each.select("fp", F.col("id").alias("u"), F.col("part").alias("p")), "fp").where("id != u and part != p")
-    state.test(proposed(each, distance).unionByName(same.select("u", F.col("id").alias("v"))).unionByName(again))
+    each = materialize(rest.groupBy("fp", "part").agg(F.min("id").alias("id")), "simhash-prints", scope)
+    met = materialize(_meetings(each, distance), "simhash-near", scope)
+    pairs = met.where("not member").select("u", "v")
+    state.test(pairs.unionByName(again))
+    nodes.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")  # a set a row
+    ends = state.parted(pairs.select(F.col("u").alias("id"), "v")).select(F.col("id").alias("u"), F.col("part").alias("part_u"), F.col("v").alias("id"))
+    failed = state.parted(ends).where("part != part_u")
+    groups = _undecided(state, met.where("member").select(F.col("v").alias("id"), F.col("u").alias("key")))
+    prints = failed.select("id").union(failed.select("u")).union(groups.select("id")).distinct()
+    prints = each.join(prints, "id", "left_semi").select("fp", "part")
+    _join_sets(state, rest.join(prints, ["fp", "part"], "left_semi").select("id").union(_undecided(state, large).select("id")))
     return state.found
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 2, samples: int = SAMPLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_sha256, component_id) of each row of docs. Linked are documents whose sets of shingles have at least this Jaccard
     similarity, if the fingerprints of their sets differ in at most `distance` bits or two of the fingerprints of `samples`
-    samples of these sets are equal. Texts with the same set are one node."""
+    samples of these sets are equal; no such pair is lost, however many share them. Texts with the same set are one node."""
     prepare(docs.sparkSession)
     conf = docs.sparkSession.conf
     batch = conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")

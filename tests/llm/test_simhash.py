@@ -240,3 +240,75 @@ def test_small_buckets_propose_all_near_pairs(spark):
     got = {tuple(x) for x in simhash.proposed(spark.createDataFrame(rows, "id long, fp long, part long"), 2).collect()}
     want = {(i, j) for j in range(len(fps)) for i in range(j) if (fps[i] ^ fps[j]).bit_count() <= 2}
     assert got == want and {(i, 40 + i) for i in range(5)} <= want
+
+
+def sets_table(spark, sets):
+    return spark.createDataFrame([(i, bytearray(np.array(sorted(x), "<u4").tobytes())) for i, x in sets.items()], "id long, hashes binary")
+
+
+def brute_parts(sets, similarity):
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            both = len(sets[i] & sets[j])
+            if i < j and both and both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                x, y = root(i), root(j)
+                parent[max(x, y)] = min(x, y)
+    return {i: root(i) for i in sets}
+
+
+def test_large_buckets_of_near_fingerprints_lose_no_pair(spark):
+    """130 nodes whose fingerprints are all near; each is like one other, and neither samples nor the bucket's forest say which."""
+    r = random.Random(4)
+    base, sets, rows = r.getrandbits(63), {}, []
+    for n in range(65):
+        both = {r.getrandbits(32) for _ in range(300)}
+        for i in (n, 65 + n):
+            sets[i] = both | {r.getrandbits(32) for _ in range(5)}
+            rows.append((i, (base ^ 1 << n % 63), [r.getrandbits(62) for _ in range(simhash.SAMPLES)]))
+    nodes = spark.createDataFrame(rows, "id long, fp long, samples array<long>")
+    got = {x.node: x.component for x in simhash._verified(nodes, sets_table(spark, sets), 2, 0.8).collect()}
+    assert got == {i: i % 65 for i in range(130)} == brute_parts(sets, 0.8)
+
+
+def test_boilerplate_that_all_share_hides_no_pair(spark):
+    r, docs = random.Random(9), []
+    passage = [f"p{i}" for i in range(880)]
+    for n in range(150):
+        own = [f"w{r.randrange(10**7)}" for _ in range(500)]
+        other = list(own)
+        other[250] = other[20] = f"x{n}"
+        docs += [(2 * n, " ".join(passage + own)), (2 * n + 1, " ".join(passage + other))]
+    got = {x.doc_id: x.component_id for x in simhash.similar_documents(frame(spark, docs)).collect()}
+    assert got == {i: i - i % 2 for i in range(300)}
+
+
+@pytest.mark.parametrize("common", [0, 20_000])
+@pytest.mark.parametrize("similarity", [0.5, 0.8])
+def test_join_of_sets_like_brute_force(spark, monkeypatch, common, similarity):
+    """Sets of 0 to 40 elements: changed copies of a few, and unlike ones that share most of their elements."""
+    monkeypatch.setattr(simhash, "COMMON", common)
+    r, sets = random.Random(6), {0: set(), 1: {7}, 2: {7, 8}}
+    shared = {r.getrandbits(32) for _ in range(25)}
+    for c in range(12):
+        first = {r.getrandbits(32) for _ in range(r.randrange(1, 40))}
+        for k in range(8):
+            sets[len(sets)] = {x for x in first if r.random() > 0.08} | {r.getrandbits(32) for _ in range(r.randrange(3))}
+    for k in range(30):
+        sets[len(sets)] = {x for x in shared if r.random() > 0.1} | {r.getrandbits(32) for _ in range(r.randrange(12))}
+    table = sets_table(spark, sets)
+    state = simhash._Links(table.select("id"), table, similarity, simhash.STAYS)
+    simhash._join_sets(state, table.select("id"))
+    got = {i: i for i in sets} | {x.node: x.component for x in state.found.collect()}
+    assert got == brute_parts(sets, similarity) and len(set(got.values())) < len(sets)
+    rows = {}
+    for x in simhash.prefixes(table, similarity).collect():
+        rows.setdefault(x.id, set()).add(x.key)
+    similar = [(i, j) for i in sets for j in sets if i < j and sets[i] & sets[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])]
+    assert similar and all(rows[i] & rows[j] for i, j in similar)
