@@ -44,6 +44,7 @@ BITS, LARGE, MASKS = 64, 3000, 2000
 SMALL = 64  # buckets of up to so many rows propose all their near pairs, larger ones a spanning forest of them first
 SAMPLES, SAMPLE, TOGETHER, FEW = 8, 3, 2, 16  # FEW: larger buckets of samples propose centers first
 COMMON = 20_000  # so many elements at most are known as frequent; this sets an order, not the result
+CENTERS = 16, 64  # of each key in the rounds that contract before sets are joined, and those that a node is held against; this sets the cost, not the result
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -540,8 +541,20 @@ def _room(similarity: float):
     return F.least(F.col("size") - F.col("at"), F.col("size2") - F.col("at2")) >= (F.col("size") + F.col("size2")) * (similarity / (1 + similarity)) - 1e-9
 
 
+def _several_centers(rows: DataFrame, most: int, number: int, similarity: float) -> DataFrame:
+    """(u, v): for each node of rows (id, key, size, at, part) up to `most` centers of other parts, those that it meets under most keys. A key
+    has up to `most` centers, other ones under each key and in each round `number`: no single node stands for all of a group whose
+    members are like some of the others only."""
+    slot = F.pmod(F.xxhash64("id", F.lit(number)), F.lit(most)).alias("slot")
+    first = F.min(F.struct(F.xxhash64("id", "key", F.lit(number)).alias("h"), "id", "size", "at", "part")).alias("c")
+    heads = rows.groupBy("key", slot).agg(first).select("key", *(F.col(f"c.{a}").alias(b) for a, b in (("id", "u"), ("size", "size2"), ("at", "at2"), ("part", "part2"))))
+    met = rows.join(materialize(heads, "simhash-firsts"), "key").where(F.col("part") != F.col("part2")).where(_room(similarity))
+    best = met.groupBy("id", "u").agg(F.count(F.lit(1)).alias("n")).groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "u")), asc=False), 1, most).alias("best"))
+    return best.select(F.explode("best.u").alias("a"), F.col("id").alias("b")).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+
+
 def _join_sets(state: _Links, ids: DataFrame) -> None:
-    """Links every pair of the nodes ids (id) that has the similarity. Rows of a key propose its center first; the tested links are
+    """Links every pair of the nodes ids (id) that has the similarity. Rows of a key propose some centers first; the tested links are
     contracted, so that a large group isn't expanded, and what is still in different parts is joined."""
     spark = ids.sparkSession
     with passing(spark):
@@ -550,11 +563,11 @@ def _join_sets(state: _Links, ids: DataFrame) -> None:
             return
         own = materialize(state.sets.join(ids, "id", "left_semi"), "simhash-own")
         rows = materialize(_undecided(state, materialize(prefixes(own, state.similarity), "simhash-prefixes")), "simhash-places")
-        heads = materialize(rows.groupBy("key").agg(F.min(F.struct("id", "size", "at", "part")).alias("c")).select("key", F.col("c.id").alias("u"), F.col("c.size").alias("size2"), F.col("c.at").alias("at2"), F.col("c.part").alias("part2")), "simhash-firsts")
-        met = rows.join(heads, "key").where(F.col("part") != F.col("part2")).where(_room(state.similarity))
-        best = met.groupBy("id", "u").agg(F.count(F.lit(1)).alias("n")).groupBy("id").agg(F.max_by("u", F.struct("n", -F.col("u"))).alias("u"))
-        state.test(best.select("u", F.col("id").alias("v")))
-        rows = materialize(_undecided(state, rows), "simhash-places")
+        for number, most in enumerate(CENTERS):
+            if rows.isEmpty():
+                return
+            state.test(_several_centers(rows, most, number, state.similarity))
+            rows = materialize(_undecided(state, rows), "simhash-places")
         other = rows.select("key", F.col("id").alias("v"), F.col("size").alias("size2"), F.col("at").alias("at2"), F.col("part").alias("part2"))
         state.test(rows.join(other, "key").where("id < v and part != part2").where(_room(state.similarity)).select(F.col("id").alias("u"), "v"))
 

@@ -312,3 +312,27 @@ def test_join_of_sets_like_brute_force(spark, monkeypatch, common, similarity):
         rows.setdefault(x.id, set()).add(x.key)
     similar = [(i, j) for i in sets for j in sets if i < j and sets[i] & sets[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])]
     assert similar and all(rows[i] & rows[j] for i, j in similar)
+
+
+def test_join_of_a_group_without_a_center(spark, monkeypatch):
+    """Copies with two edits each are like those with an edit at the same place only, so no node is like most others; still few are joined pair by pair."""
+    r, sets = random.Random(3), {}
+    base = [r.getrandbits(32) for _ in range(146)]
+    for i in range(400):
+        x = list(base)
+        for at in (r.randrange(141), r.randrange(141)):
+            x[at : at + 5] = [r.getrandbits(32) for _ in range(5)]
+        sets[i] = set(x)
+    table = sets_table(spark, sets)
+    state = simhash._Links(table.select("id"), table, 0.8, simhash.STAYS)
+    made, test = [], state.test
+
+    def tested(pairs):
+        made.append(pairs.count())
+        test(pairs)
+
+    monkeypatch.setattr(state, "test", tested)
+    simhash._join_sets(state, table.select("id"))
+    got = {i: i for i in sets} | {x.node: x.component for x in state.found.collect()}
+    assert got == brute_parts(sets, 0.8)
+    assert made[-1] < 10 * len(sets) and sum(made) < 100 * len(sets), made
