@@ -173,6 +173,40 @@ def test_partitions_and_sizes_of_work_change_nothing(spark, monkeypatch):
     assert [paths(t) for t in by_level.fit(table(spark, x, y, 1)).trees] == want
 
 
+@pytest.mark.parametrize("name", ["forest", "forest of means, a depth", "levels", "leaves"])
+def test_nodes_finished_apart_make_the_same_trees(spark, monkeypatch, name):
+    """As passes alone, whichever nodes are small, in however many buckets; and a deep tree no longer takes a pass a level."""
+    x, y = made(300, 4, 0 if "means" in name else 3, 13)
+    learner = {
+        "forest": R.Forest(classes=3, trees=3, at_once=3, least_to_split=12, bins=16),
+        "forest of means, a depth": R.Forest(task="regression", trees=2, depth=5, least_rows=3, bins=16),
+        "levels": R.Booster(classes=3, trees=1, depth=6, subsample=0.7, alpha=0.1, column_share=0.8, bins=16),
+        "leaves": R.Booster(classes=3, trees=1, leaves=12, depth=None, least_rows=4, l2=0.0, least_weight=1e-3, subsample=0.8, bins=16),
+    }[name]
+    passes = []
+    real = R._histograms
+    monkeypatch.setattr(R, "_histograms", lambda *a: passes.append(1) or real(*a))
+    grown, counts = [], []
+    for small, bucket in ((0, 1 << 24), (1 << 17, 1 << 24), (60, 1 << 12)):
+        monkeypatch.setattr(R, "FINISHED", small)
+        monkeypatch.setattr(R, "BUCKET", bucket)
+        passes.clear()
+        model = learner.fit(table(spark, x, y))
+        grown.append([(paths(t), {p: v for p, v in zip(_places(t), zip(t.threshold, t.gain, t.depth))}) for t in model.trees])
+        counts.append(len(passes))
+    assert all(g == grown[0] for g in grown[1:])
+    assert counts[1] <= 4 and counts[1] < counts[2] <= counts[0]
+
+
+def _places(tree):
+    """The path of each node, in order of their numbers."""
+    out = {0: ""}
+    for n, f in enumerate(tree.feature):
+        if f >= 0:
+            out[tree.left[n]], out[tree.right[n]] = out[n] + "l", out[n] + "r"
+    return [out[n] for n in range(len(tree.feature))]
+
+
 def test_leaves_are_obeyed(spark):
     x, y = made(900, 5, 2, 7)
     df = table(spark, x, y)
