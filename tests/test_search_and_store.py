@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions.columns import parse_datetime, written_datetime
 from quarrymill.operators.search import HPOEngine, MedianPruner, RandomSampler, TrialResult, best_of, run_folds
+from quarrymill.operators.scratch import sent
 from quarrymill.operators.tracking import Store, TrackingStore
 
 
@@ -104,3 +105,24 @@ def test_formats_still_come_first(spark):
     df = spark.createDataFrame([("2024-01-02 03:04:05",), ("1/2/2024",), ("2024-05",), ("2024",)], "t string")
     got = [str(r[0]) for r in df.select(parse_datetime(F.col("t")).cast("timestamp_ntz")).collect()]
     assert got == ["2024-01-02 03:04:05", "2024-01-02 00:00:00", "2024-05-01 00:00:00", "2024-01-01 00:00:00"]
+
+
+def test_a_search_computes_its_rows_a_few_times_only(spark):
+    """The hold-out is kept before folds are counted and dealt, and the test part comes from it."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(i):
+        seen.add(1)
+        return float(i)
+
+    df = spark.range(400).select(F.udf(count, "double")("id").alias("k"), (F.col("id") % 2).alias("y"), F.col("id").alias("x"))
+    HPOEngine(metric="accuracy", n_trials=2, cv_folds=2, max_trees=1, model_families=["random_forest"], sampler=RandomSampler(1)).optimize(df, "y", "k")
+    assert 0 < seen.value <= 3 * 400, seen.value / 400
+
+
+def test_rows_of_the_driver_are_sent_with_the_plan(spark):
+    rows = [("a", None, 1, [1.5, 2.0]), ("b", "c", None, None)]
+    schema = "a string, b string, n int, v array<double>"
+    df = sent(spark, rows, schema)
+    assert df.schema == spark.createDataFrame(rows, schema).schema and [tuple(r) for r in df.collect()] == rows
+    assert "LocalTableScan" in df._jdf.queryExecution().executedPlan().toString() and sent(spark, [], schema).count() == 0
