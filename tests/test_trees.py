@@ -198,6 +198,19 @@ def test_nodes_finished_apart_make_the_same_trees(spark, monkeypatch, name):
     assert counts[1] <= 4 and counts[1] < counts[2] <= counts[0]
 
 
+def test_draws_of_many_nodes(spark):
+    """Every set of features comes up alike, and siblings, parents and trees draw apart."""
+    forest, paths = R.Forest(classes=3), np.array([1], np.uint64)
+    for _ in range(13):
+        paths = R.below(paths)
+    draw = lambda tree, p: forest.columns(11, np.full(len(p), tree), p)
+    drawn, after = draw(0, paths), draw(0, R.below(paths))
+    assert len(set(paths.tolist())) == 1 << 13 and (np.diff(drawn) > 0).all() and drawn.shape[1] == 3
+    assert abs(np.bincount(drawn.ravel()) / len(paths) - 3 / 11).max() < 0.03
+    for a, b in ((drawn, draw(1, paths)), (after[::2], after[1::2]), (drawn, after[::2])):
+        assert (a == b).all(1).mean() < 0.02  # 1 / 165 by chance
+
+
 def _places(tree):
     """The path of each node, in order of their numbers."""
     out = {0: ""}
