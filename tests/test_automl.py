@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,6 +40,20 @@ def test_load_gives_the_same_predictions(spark, trained):
     assert Registry(spark, store).predict([raw.first().asDict()]).count() == 1
 
 
+def test_a_round_trip_takes_few_jobs(spark, tmp_path):
+    """However deep the forest is, a registered run and its predictions take no job a level."""
+    rng = np.random.default_rng(1)
+    rows = spark.createDataFrame([(i, "abc"[k], *map(float, x)) for i, (k, x) in enumerate(zip(rng.integers(0, 3, 1200), rng.normal(size=(1200, 3))))], "id long, kind string, a double, b double, c double")
+    spark.sparkContext.setJobGroup("round trip", "")
+    try:
+        run = run_automl(rows, "kind", "accuracy", 1, store=f"file://{tmp_path}", key="id", drop_key=True, search={"max_trees": 2, "cv_folds": 2, "model_families": ["random_forest"]})
+        here, there = (p.select("id", "prediction").collect() for p in (run["full_pipeline"].predict(rows), Registry(spark, f"file://{tmp_path}").predict(rows)))
+    finally:
+        spark.sparkContext._jsc.sc().clearJobGroup()
+    assert len(here) == 1200 and sorted(here) == sorted(there) and None not in {r.prediction for r in here}
+    assert max(run["model"].trees[0].depth) > 12 and len(spark.sparkContext.statusTracker().getJobIdsForGroup("round trip")) < 95
+
+
 def test_tracked_tables(spark, trained):
     store = Store(spark, trained[0])
     names = {r.run_name for r in store.read("runs").collect()}
